@@ -5,19 +5,39 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from readqc.llm import decontaminate, language_crf, secret_scan, sentencepiece_rounds
+from readqc.llm import decontaminate, digest_cache, hnsw, interleave, jaccard_join, knn_quality, language_crf, repair, secret_scan, sentencepiece_rounds
 from readqc.llm.common import table
 
 
+def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_cache.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleave.interleave(table(spark, sf_dir, "documents"))
+
+
 def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_crf.identify(docs, language_crf.train(docs))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,6 +46,17 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_rounds.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op6_language_crf, op8_decontamination, op9_sentencepiece)}
+def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return knn_quality.score_quality(docs, knn_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_repair_token_files, op2_digest_cache, op3_secret_scan, op4_hnsw, op5_interleave, op6_language_crf, op7_jaccard_join,
+        op8_decontamination, op9_sentencepiece, op10_knn_quality,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
