@@ -9,6 +9,7 @@ blocks; the products of the blocks' transfer matrices link the blocks exactly.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -24,7 +25,7 @@ from readqc.llm.common import pieces
 
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-_BLOCK = 64
+_BLOCK = 128
 
 
 def words_of(text: str | None) -> list[str]:
@@ -137,18 +138,16 @@ class Model:
             self.places = Places(len(self.weights))
         out: list[tuple[str, float]] = []
         words, found, places = [words_of(t) for t in texts], [], self.places
-        for own in words:
-            for w in own:
-                if w not in self.known:
-                    self.known[w] = len(self.letter)
-                    self.letter.append(w.isalpha() or any(map(str.isalpha, w)))
-                    found.append(features(w, self.lexicon, places))
+        for w in set().union(*words).difference(self.known):
+            self.known[w] = len(self.letter)
+            self.letter.append(w.isalpha() or any(map(str.isalpha, w)))
+            found.append(features(w, self.lexicon, places))
         if found:
             sizes = [len(f) for f in found]
-            new = self.weights[np.fromiter((x for f in found for x in f), np.int64, sum(sizes))]
+            new = self.weights[np.fromiter(itertools.chain.from_iterable(found), np.int64, sum(sizes))]
             self.scores = np.concatenate([self.scores, np.add.reduceat(new, np.r_[0, np.cumsum(sizes)[:-1]], axis=0)])
         lens = np.array([len(x) for x in words], np.int64)
-        ids = np.fromiter((self.known[w] for own in words for w in own), np.int64, int(lens.sum()))
+        ids = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(lens.sum()))
         if len(ids):
             used, place = np.unique(ids, return_inverse=True)
             emit = self.scores[used]
