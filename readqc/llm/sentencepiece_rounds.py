@@ -78,7 +78,7 @@ class PieceModel:
             raw[i] = piece.replace(SPACE, " ").encode()
         for b, i in enumerate(self.byte_ids.tolist()):
             raw[i] = bytes([b])
-        self.raw = raw
+        self.raw, self.names = raw, [str(i) for i in range(n)]
 
     def cut(self, text: str) -> list[str]:
         """The independent words of a text; with its leading dummy space, as the library adds it."""
@@ -151,24 +151,32 @@ def load(path: str) -> PieceModel:
 class Encoder:
     """Encodes texts and remembers up to ``keep`` words; a full memory is emptied, which changes no result."""
 
-    def __init__(self, path: str, keep: int = 200_000):
-        self.model, self.keep, self.known = load(path), keep, {}
+    def __init__(self, path: str, keep: int = 500_000):
+        self.model, self.keep = load(path), keep
+        self.ids: dict[str, str] = {}  # of each word, in decimals joined by commas
+        self.text: dict[str, str] = {}  # of each word, decoded from its ids
 
-    def __call__(self, texts: list[str | None]) -> Iterator[list[tuple[list[int], str, str]]]:
-        """For each text its words as (ids, their decimals joined by commas, decoded)."""
-        if len(self.known) > self.keep:
-            self.known = {}
-        cut = [self.model.cut(t or "") for t in texts]
-        new = list({w for words in cut for w in words if w not in self.known})
-        ids, counts = self.model.encode_words(new)
+    def _learn(self, words: list[str]) -> None:
+        ids, counts = self.model.encode_words(words)
+        names, raw = self.model.names, self.model.raw
         ids, at = ids.tolist(), 0
-        for w, n in zip(new, counts.tolist(), strict=True):
+        for w, n in zip(words, counts.tolist(), strict=True):
             own = ids[at : at + n]
-            self.known[w] = (own, ",".join(map(str, own)), b"".join([self.model.raw[i] for i in own]).decode("utf-8", "replace"))
             at += n
-        known = self.known
+            self.ids[w] = ",".join([names[i] for i in own])
+            back = b"".join([raw[i] for i in own]).decode("utf-8", "replace")
+            self.text[w] = w if back == w else back
+
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
+        """For each text its ids in decimals joined by commas, and the text decoded from them."""
+        if len(self.ids) > self.keep:
+            self.ids, self.text = {}, {}
+        cut = [self.model.cut(t or "") for t in texts]
+        self._learn(list(set().union(*cut).difference(self.ids)))
+        ids_of, text_of = self.ids.__getitem__, self.text.__getitem__
         for words in cut:
-            yield [known[w] for w in words]
+            text = "".join(map(text_of, words))
+            yield ",".join(map(ids_of, words)), text[1:] if text[:1] == " " else text
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -184,17 +192,15 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         for batch in batches:
             for part, texts in pieces(batch, "text"):
                 n, digest, back, ids = [], [], [], []
-                for words in encode(texts):
-                    n.append(sum([len(w[0]) for w in words]))
-                    digest.append(hashlib.sha256(",".join([w[1] for w in words]).encode()).hexdigest())
-                    text = "".join([w[2] for w in words])
-                    back.append(hashlib.sha256((text[1:] if text[:1] == " " else text).encode()).hexdigest())
+                for joined, text in encode(texts):
+                    n.append(joined.count(",") + 1 if joined else 0)
+                    digest.append(hashlib.sha256(joined.encode()).hexdigest())
+                    back.append(hashlib.sha256(text.encode("utf-8", "replace")).hexdigest())
                     if with_ids:
-                        ids.append(np.fromiter((i for w in words for i in w[0]), np.int32, n[-1]))
+                        ids.append(np.fromiter(map(int, joined.split(",")), np.int32, n[-1]) if joined else np.zeros(0, np.int32))
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
                 if with_ids:
-                    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(flat, pa.int32())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
