@@ -1,0 +1,220 @@
+"""Near duplicates of texts and vectors, components, and the pipeline, against brute force."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from readqc.llm import hnsw, jaccard_join
+from readqc.llm.common import Workspace
+from readqc.llm.components import connected_components
+from tests.llm.conftest import SCHEMA, prose, row
+
+
+def components(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        ra, rb = find(a), find(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 300)] + [(rng.randint(2000, 2400), rng.randint(2000, 2400)) for _ in range(300)] + [(7, 7), (5, 4), (-3, -9)]
+    df = spark.createDataFrame(links, "u long, v long").repartition(6)
+    got = {r.node: r.component for r in connected_components(df, Workspace(spark, "t")).collect()}
+    want = components({x for link in links for x in link}, links)
+    assert got == {n: c for n, c in want.items() if n in got} and all(c == n for n, c in want.items() if n not in got)
+    assert connected_components(df.where("false"), Workspace(spark, "t")).count() == 0
+
+
+def sets_of(texts):
+    out = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out.append(frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else []))
+    return out
+
+
+def groups_by_hand(rows):
+    """Counter of (doc_id, n_shingles, component_id); rows are nodes, ids come after."""
+    sets = sets_of([r[1] for r in rows])
+    inverted = {}
+    links = []
+    for i, s in enumerate(sets):
+        common = Counter(j for x in s for j in inverted.setdefault(x, []))
+        links += [(j, i) for j, k in common.items() if 100 * k >= 75 * (len(s) + len(sets[j]) - k)]
+        for x in s:
+            inverted[x].append(i)
+    comp = components(range(len(rows)), links)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None and sets[i]:
+            least[comp[i]] = min(least.get(comp[i], r[0]), r[0])
+    return Counter((r[0], len(sets[i]), least.get(comp[i]) if sets[i] else r[0]) for i, r in enumerate(rows)), len(links)
+
+
+def edited(rng, text, share):
+    words = text.split()
+    return " ".join(rng.choice(words) + "x" if rng.random() < share else w for w in words)
+
+
+@pytest.fixture(scope="module")
+def copies():
+    rng = random.Random(6)
+    passage = prose(rng, 50)
+    rows = [row(i, prose(rng, rng.randint(3, 120))) for i in range(60)]
+    for base in range(12):
+        text = prose(rng, 150)
+        rows += [row(1000 + 50 * base + k, edited(rng, text, rng.choice((0, 0.005, 0.01, 0.02, 0.05)))) for k in range(rng.randint(2, 25))]
+    rows += [row(3000 + i, " ".join([prose(rng, rng.randint(2, 60)), passage, prose(rng, 3)])) for i in range(60)]
+    rows += [row(4000 + i, rng.choice(("one two", "One  two", "a b c d e", "a b c d e f"))) for i in range(12)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_op7_rows(spark, odd, odd_rows, none, copies):
+    want, links = groups_by_hand(copies)
+    assert links > 100
+    for n in (1, 7):
+        assert Counter(map(tuple, jaccard_join.similar(spark.createDataFrame(copies, SCHEMA).repartition(n)).collect())) == want
+    assert Counter(map(tuple, jaccard_join.similar(odd).collect())) == groups_by_hand(odd_rows)[0]
+    assert jaccard_join.similar(none).count() == 0
+
+
+@pytest.mark.parametrize("limits", [(0, 0), (5, 0)])
+def test_rounds_lose_nothing(spark, copies, limits, monkeypatch):
+    """All pairs at once, hubs alone, small batches and many ranges give the same."""
+    monkeypatch.setattr(jaccard_join, "BATCH_TOKENS", 500)
+    monkeypatch.setattr(jaccard_join, "RANGE_TOKENS", 700)
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    got = jaccard_join.similar(spark.createDataFrame(copies, SCHEMA).repartition(5), max_rounds=limits[0], pairs_per_entry=limits[1])
+    assert Counter(map(tuple, got.collect())) == groups_by_hand(copies)[0]
+
+
+def test_prefixes_meet():
+    """Similar sets share a token of their prefixes under each order, whatever is shared with others."""
+    rng = np.random.default_rng(2)
+    level = lambda t: (t * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)
+    for _ in range(300):
+        both = rng.integers(0, 1 << 48, rng.integers(1, 120), dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 48, rng.integers(0, len(both) // 6 + 1), dtype=np.uint64)])) for _ in range(2))
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared < 75 * (len(a) + len(b) - shared):
+            continue
+        known = np.union1d(np.intersect1d(a, b), rng.choice(np.union1d(a, b), 3))
+        x, y = (jaccard_join.prefixes(jaccard_join._coded(k, level(k)), len(s)) for s in (a, b) for k in [np.intersect1d(s, known)])
+        assert x is not None and y is not None and all(len(np.intersect1d(p, q)) for p, q in zip(x, y, strict=True))
+
+
+def test_packing():
+    rng = np.random.default_rng(3)
+    for n, high in ((0, 48), (1, 48), (1000, 48), (1000, 20)):
+        tokens = np.unique(rng.integers(0, 1 << high, n, dtype=np.uint64))
+        owner = rng.integers(-1, 9, len(tokens))
+        nodes, sizes = rng.integers(-(1 << 62), 1 << 62, 9), rng.integers(1, 99, 9)
+        t, place, names, counts, marked = jaccard_join._unpack(jaccard_join._pack(tokens, owner, nodes, sizes))
+        assert np.array_equal(t, tokens) and marked == bool((owner < 0).any())
+        assert all((p < 0) == (o < 0) and (o < 0 or (names[p] == nodes[o] and counts[p] == sizes[o])) for p, o in zip(place, owner, strict=True))
+
+
+def test_one_of_each_group_stays(spark, odd, none, copies):
+    docs = spark.createDataFrame(copies, SCHEMA)
+    kept = jaccard_join.keep_one(docs)
+    assert kept.schema == docs.schema
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in groups_by_hand(copies)[0]})
+    ids = Counter(r.doc_id for r in jaccard_join.keep_one(odd).collect())
+    assert ids[3] == 1 and ids[201] == 0 and ids[None] == 2 and ids[5] == 1
+    assert jaccard_join.keep_one(none).count() == 0
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(400)]
+    for c in range(6):
+        centre = rng.normal(size=16)
+        rows += [(1000 + 100 * c + k, (centre + rng.normal(size=16) * 0.12).astype(np.float32).tolist()) for k in range(int(rng.integers(2, 60)))]
+    rows += [(5000, rows[0][1]), (5001, rows[0][1]), (5002, [2 * x for x in rows[1][1]]), (5003, [0.0] * 16), (5004, None), (5005, []), (5006, [1.0, None] + [0.0] * 14), (5007, [float("nan")] + [1.0] * 15), (5008, [float("inf")] + [1.0] * 15)]
+    return rows + [(5009, [1.0, 2.0, 3.0]), (5010, [1.0, 2.0, 3.1]), (7, rows[7][1]), (None, rows[9][1]), (None, None)]
+
+
+def links_by_hand(rows):
+    good = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = []
+    for a, i in enumerate(good):
+        for j in good[a + 1 :]:
+            x, y = np.array(rows[i][1], float), np.array(rows[j][1], float)
+            if len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.9:
+                links.append((i, j))
+    comp, n = components(range(len(rows)), links), Counter(x for link in links for x in link)
+    least = {}
+    for i, (name, _) in enumerate(rows):
+        if name is not None:
+            least[comp[i]] = min(least.get(comp[i], name), name)
+    return Counter((name, n[i], least.get(comp[i]), name is not None and name == least[comp[i]]) for i, (name, _) in enumerate(rows)), len(links)
+
+
+def test_op4_rows(spark, vectors):
+    want, links = links_by_hand(vectors)
+    assert links > 300
+    df = spark.createDataFrame([(*r, "x", 1) for r in vectors], "vec_id long, embedding array<float>, n_links string, node int").repartition(4)
+    assert Counter(map(tuple, hnsw.near_duplicates(df).collect())) == want
+    assert Counter(map(tuple, hnsw.near_duplicates(df, least_shards=3, shard_size=100, block=64).collect())) == want
+    assert hnsw.near_duplicates(df.where("false")).count() == 0
+
+
+def test_graph_recall():
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(3000, 24))
+    v[2000:2400] = v[0] + rng.normal(size=(400, 24)) * 0.05
+    v = hnsw.unit(v)[rng.permutation(3000)].astype(np.float32)
+    graph = hnsw.Graph.build(v)
+    q, n = graph.audited(v, 0.9)
+    true = v @ v.T >= 0.9
+    assert len(q) >= 0.99 * true.sum() and true[q, n].all()
+    ids, _ = graph.search(v[:200], 64)
+    best = np.argsort(-(v[:200] @ v.T), 1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), best.tolist(), strict=True)]) > 0.9
+
+
+def test_pipeline(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert [name for name, _ in pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "encoding"]
+    ws = Workspace(spark, "t")
+    now = docs
+    for name, stage in pipeline.STAGES:
+        after = ws.stage(stage(spark, now, sf_dir), name)
+        if name != "encoding":
+            assert after.columns == docs.columns
+        now = after
+    assert now.count() <= docs.count()
+    assert pipeline.run(spark, sf_dir).count() == now.count()
+
+
+def test_pipeline_over_odd_rows(spark, odd, none, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for docs in (odd, none):
+        for _, stage in pipeline.STAGES:
+            assert stage(spark, docs, sf_dir).count() <= docs.count()
+
+
+def test_registered(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    for n in names:
+        if not n.startswith("op4"):
+            assert entry.queries()[n](spark, sf_dir).count() == docs
