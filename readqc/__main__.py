@@ -44,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
 
 def config(argv: list[str]) -> tuple[QCConfig, argparse.Namespace]:
     # A lone --poly-g or --poly-x must not take the next file for its number.
-    args = parser().parse_args([f"{a}=10" if a in ("--poly-g", "--poly-x") and not (argv[i + 1 : i + 2] and argv[i + 1].isdigit()) else a for i, a in enumerate(argv)])
+    args = parser().parse_intermixed_args([f"{a}=10" if a in ("--poly-g", "--poly-x") and not (argv[i + 1 : i + 2] and argv[i + 1].isdigit()) else a for i, a in enumerate(argv)])
     if args.threads is not None and args.threads < 1:
         raise SystemExit("--threads must be at least 1")
     slow = not args.fast

@@ -60,7 +60,8 @@ def mean_bin(total: Column, length: Column) -> Column:
 
 
 def length_bin(qual: Column | str) -> Column:
-    return F.least(F.floor(F.length(_col(qual)) / LENGTH_BIN), F.lit(LENGTH_BINS)).cast("int")
+    size = F.length(_col(qual))
+    return F.when(size.isNotNull(), F.least(F.floor(size / LENGTH_BIN), F.lit(LENGTH_BINS)).cast("int"))
 
 
 def key(seq: Column | str) -> Column:
