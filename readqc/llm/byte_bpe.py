@@ -23,9 +23,9 @@ SAFE = re.compile("[\t\n\r -~¡-ɏ]*")
 
 
 class ByteBpe:
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.keep, self.known = Tokenizer.from_file(path), keep, {}
         self.library.no_truncation()
@@ -37,6 +37,11 @@ class ByteBpe:
         feed = self.library.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else -1
         self.cuts = self.cuts and self.feed >= 0
+        # The same model for words that are cut already: lines instead of the pattern.
+        self.lines = Tokenizer.from_file(path)
+        self.lines.no_truncation()
+        self.lines.no_padding()
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.library.get_vocab_size(with_added_tokens=True)
 
     def _plain(self, text: str) -> bool:
@@ -51,7 +56,7 @@ class ByteBpe:
             self.known[w] = np.array(e.ids, "<u4").tobytes()
         for i in range(0, len(rest), at_once):
             lines = rest[i : i + at_once]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.lines.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
             flat, start = ids.tobytes(), 0
             for w, end in zip(lines, (4 * ends).tolist(), strict=True):
@@ -65,9 +70,9 @@ class ByteBpe:
         cut = [CUT.findall(t) if t and self._plain(t) else None for t in texts]
         self._learn(set().union(*filter(None, cut)).difference(self.known))
         ids_of = self.known.__getitem__
-        for text, words in zip(texts, cut, strict=True):
-            if words is not None:
-                yield b"".join(map(ids_of, words))
+        for text, own in zip(texts, cut, strict=True):
+            if own is not None:
+                yield b"".join(map(ids_of, own))
             elif text:
                 yield np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
             else:

@@ -2,7 +2,7 @@
 
 A file is a sequence of shards, each a row with a binary payload: a grammar and the ids of some documents under it.
 Frequent pairs of neighbouring ids (never across documents) are replaced by nonterminals, round by round: a round counts
-all pairs, gives the most frequent ones new symbols, and replaces their leftmost occurrences. Rules are stored with the
+the pairs, gives the most frequent ones new symbols, and replaces their leftmost occurrences. Rules are stored with the
 lengths they expand to, and documents with their places in the sequence and in the ids, so that a document, or an id of
 it, is decoded without the others.
 
@@ -27,49 +27,48 @@ from readqc.llm.byte_bpe import load
 from readqc.llm.common import Workspace, pieces
 
 HEAD = struct.Struct("<4sIIIIB3x")
-_M = np.uint64(0x9E3779B97F4A7C15)
-_NO_PAIR = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def _frequent(sym: np.ndarray, last: np.ndarray, least: int, most: int, bits: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Up to ``most`` pairs that occur ``least`` times, the most frequent first: their keys, all places they stand at,
-    and which pair each place has. Of the pairs that share a bucket of the hash one is counted in this round."""
-    key = (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
-    key[last[:-1]] = _NO_PAIR
-    bucket = ((key * _M) >> np.uint64(64 - bits)).astype(np.int32)
-    of = np.zeros(1 << bits, np.uint64)
-    of[bucket] = key
-    bucket[of[bucket] != key] = 0
-    of[0] = _NO_PAIR
+_M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+
+
+def _frequent(sym: np.ndarray, last: np.ndarray, least: int, most: int, bits: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to ``most`` pairs that occur ``least`` times, the most frequent first (k x 2); all places they stand at, and
+    which pair each place has. Of the pairs that share a bucket of a hash one is counted in this round."""
+    a, b = sym[:-1], sym[1:]
+    bucket = ((a * _M1 ^ b * _M2) >> np.uint32(32 - bits)).astype(np.intp)
+    bucket[last[:-1]] = 0
+    place = np.zeros(1 << bits, np.int32)
+    place[bucket] = np.arange(len(bucket), dtype=np.int32)
+    left, right = a[place], b[place]
+    same = left[bucket] == a
+    same &= right[bucket] == b
+    bucket *= same
     counts = np.bincount(bucket, minlength=1 << bits)
-    counts[of == _NO_PAIR] = 0
+    counts[0] = 0  # where pairs across documents, and those not counted, went
     often = np.flatnonzero(counts >= least)
     often = often[np.argsort(-counts[often], kind="stable")[:most]]
     number = np.full(1 << bits, -1, np.int32)
     number[often] = np.arange(len(often))
     which = number[bucket]
     at = np.flatnonzero(which >= 0)
-    return of[often], at, which[at]
+    return np.stack([left[often], right[often]], 1), at, which[at]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 4, least: int = 24, most_rules: int = 15_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (k x 2; rule i makes symbol base + i), the sequence, and the documents' ends in it."""
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 24, most_rules: int = 15_000, gain: float = 0.005) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rules (k x 2; rule i makes symbol base + i), the sequence, and the documents' ends in it. Rounds go on until no
+    pair occurs ``least`` times, or replacing all that do would shorten the sequence by a share of less than ``gain``."""
     sym, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(sym) < 2 or made >= most_rules:
-            break
+    while len(sym) > 1 and made < most_rules:
         pairs, at, which = _frequent(sym, last, least, min(4096, most_rules - made))
-        if not len(pairs):
+        if len(at) < gain * len(sym):
             break
-        fresh = np.r_[True, np.diff(at) != 1]
+        fresh = np.append(True, np.diff(at) != 1)
         begin = at[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         free = (at - begin) % 2 == 0
         at, which = at[free], which[free]
-        uses = np.bincount(which, minlength=len(pairs))
-        good = uses >= 3
+        good = np.bincount(which, minlength=len(pairs)) >= 3
         number = np.cumsum(good) - 1
         at, which = at[good[which]], which[good[which]]
         if not len(at):
@@ -79,9 +78,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 4, leas
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
         sym, last = sym[keep], last[keep]
-        pairs = pairs[good]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        made += len(pairs)
+        rules.append(pairs[good])
+        made += len(rules[-1])
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return table, sym, np.flatnonzero(last) + 1
 
@@ -144,15 +142,18 @@ class Shard:
         self.offset, self.flat = offset, flat
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        sym = seq.astype(np.int64)
-        rule = sym >= self.base
-        size = np.ones(len(sym), np.int64)
-        size[rule] = self.sizes[sym[rule] - self.base]
-        out = np.repeat(sym, size).astype("<u4")
-        if rule.any():
-            place, span = (np.cumsum(size) - size)[rule], size[rule]
-            inner = np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span)
-            out[np.repeat(place, span) + inner] = self.flat[np.repeat(self.offset[sym[rule] - self.base], span) + inner]
+        """The ids of a part of the sequence."""
+        at = np.flatnonzero(seq >= self.base)
+        rule = seq[at].astype(np.intp) - self.base
+        size = np.ones(len(seq), np.int32)
+        size[at] = self.sizes[rule]
+        out = np.repeat(seq.astype("<u4"), size)
+        span = self.sizes[rule]
+        # Each rule's ids lie together in the table of expansions, and their places together in the output.
+        ends = np.cumsum(span)
+        inner = np.arange(int(ends[-1]) if len(ends) else 0)
+        place = at + (ends - span) - np.arange(len(at))
+        out[inner + np.repeat(place - (ends - span), span)] = self.flat[inner + np.repeat(self.offset[rule] - (ends - span), span)]
         return out
 
     def document(self, i: int) -> np.ndarray:
