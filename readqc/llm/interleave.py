@@ -2,7 +2,7 @@
 
 Rows get a seeded shuffle key (a digest of seed and id). Within each source they are ranked by it; rank / size of the
 source is a fractional rank that spreads every source evenly over (0, 1). Sorted by it and cut into equal runs, each shard
-has each source's share to within a row or two, and shards differ by one row at most.
+has each source's share but for a few rows, and shards differ by one row at most.
 
 Both rankings are exact and need no single sorted partition: the keys (then the fractional ranks) are uniform, so they
 are cut into equal bins; bins are counted with map-side sums, a running sum over the bins (at most ``max_bins`` for a
