@@ -2,26 +2,30 @@
 
 Documents with equal shingle sets become one node (pre-aggregated by a digest of the set). Two nodes with similarity t or
 more share a token among the first n - ceil(t n) + 1 of their n shingles under ANY global order, so a candidate must pass
-under every order used. The orders put frequent shingles last, by a count sketch of fixed size over all documents:
-
-1. order A spreads (token, node) entries of the prefixes; tokens of more than one node form lists;
-2. a pair of a list goes to the verifier with both texts, where the prefixes under orders B and C must intersect too
-   before the whole sets are compared.
-
-Lists are worked off without writing out all their pairs: in each round every list's hub is paired with the members that
-aren't in its component yet. That settles all pairs of the hub (they are verified, or connected already), so it leaves
-the list; lists whose members are all in one component leave as well. When the pairs across components that are left are
-few against the entries, they are all verified at once, which makes the result exact: whatever the sizes of the lists,
-each pair that could link two components is compared.
+under every order used. All three orders go by how many nodes have a shingle, rare ones first (a prefix of shingles that no
+other node has yields no candidates); they differ in the hash that settles ties.
+
+1. Every task sends its shingles to the ranges of their hashes, packed. A shingle that very many nodes of a task have goes
+   out once, with a mark, and counts as frequent everywhere. A range learns how many nodes have each shingle, and tells
+   nodes those that they share.
+2. A node whose shared shingles can't reach into its prefix has no partner. The others get their prefixes under the
+   orders A, B and C. Order A spreads (token, node) entries; tokens of more than one node form lists.
+3. A pair of a list is dropped unless its prefixes meet under B and C as well; the texts of the pairs left are compared.
+
+Lists are worked off without writing out all their pairs: in each round every list's hub (of its members the one with the least
+shingles of its own, as an original among its edited copies) is paired with those that aren't in its component yet. That settles all pairs of the hub (they are compared, or connected already), so it leaves
+the list; lists whose members are all in one component leave as well. After at least one round, when the pairs across components
+that are left are few against the entries, they are all compared at once, which makes the result exact: whatever the sizes of the lists,
+each pair that could link two components is looked at, in the list of the first token that the two have in common.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +35,11 @@ from readqc.llm.components import connected_components
 
 WIDTH = 5
 PERCENT = 75
-SKETCH_BITS = 20
-FILTER_BITS = 26
-SLICES = 64
+TOKEN_BITS = 48  # of a shingle's hash, by which it is known to the filters
+RANGE_TOKENS = 2 << 20
+BATCH_TOKENS = 1 << 20
+HOT = 64  # nodes of a batch that share a token; from there on it goes out once
+_HOT_LEVEL = np.uint64(255)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -41,7 +47,7 @@ _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 class Shingles:
     """Sorted distinct 64-bit hashes of a text's shingles; remembers the hashes of words (a full memory is emptied)."""
 
-    def __init__(self, keep: int = 400_000):
+    def __init__(self, keep: int = 250_000):
         self.keep, self.known = keep, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -72,79 +78,226 @@ def set_digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _bucket(s: np.ndarray, bits: int) -> np.ndarray:
-    return ((s * _M2) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def prefix_size(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def prefix(s: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
-    """The tokens of a set that come first under one of the orders: the rarest first, those of one level by a hash."""
-    p = prefix_size(len(s))
-    mixed = s if order == 0 else ~s if order == 1 else (s * _M) ^ (s >> np.uint64(31))
-    key = (levels[_bucket(s, SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (mixed >> np.uint64(8))
-    # Tokens with one key are told apart by their own value, so that the order is one for all sets.
-    if p >= len(s):
-        return s
-    part = np.partition(key, p - 1)[p - 1]
-    below, ties = s[key < part], s[key == part]
-    return np.concatenate([below, np.sort(ties)[: p - len(below)]])
+def _coded(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Tokens with how frequent they are in the bits above."""
+    return tokens | levels.astype(np.uint64) << np.uint64(TOKEN_BITS)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0: each document's node and set size; of kind 1: a slice of the counts of all this task's shingles."""
-    shingles, counts = Shingles(), np.zeros(1 << SKETCH_BITS, np.uint32)
-    for batch in batches:
-        for part, texts in pieces(batch):
-            sets = [shingles(t) for t in texts]
-            counts += np.bincount(_bucket(np.concatenate(sets), SKETCH_BITS), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            k = len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * k, pa.int32()), part.column(0).cast(pa.int64()), pa.array([set_digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.binary())],
-                names=["kind", "doc_id", "node", "n", "counts"],
-            )
-    if counts.any():
-        parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SLICES, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(parts, pa.binary())], names=["kind", "doc_id", "node", "n", "counts"])
-
-
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums each slice's counts as they stream by; returns them on a scale of half powers of two."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(blob), np.uint32)
-            sums[k] = sums[k] + x if k in sums else x.astype(np.int64)
-    for k, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([(2 * np.log2(x + 1.0)).astype(np.uint8).tobytes()], pa.binary())], names=["node", "counts"])
+def _level(nodes: np.ndarray) -> np.ndarray:
+    """Frequency on a scale that is exact to 127 nodes, then goes by quarter powers of two."""
+    return np.where(nodes < 128, nodes, np.minimum(254, 128 + 4 * np.log2(np.maximum(nodes, 1) / 128))).astype(np.uint64)
 
 
-def _high_bits(tokens: pa.Array) -> np.ndarray:
-    return (tokens.to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def prefixes(shared: np.ndarray, n: int) -> list[np.ndarray] | None:
+    """The shared tokens in a node's prefix under each order, of its distinct coded tokens and the number of all its
+    shingles: what its own shingles, which come first, leave room for. None if they leave none."""
+    room = prefix_size(n) - (n - len(shared))
+    if room <= 0:
+        return None
+    level, token = shared >> np.uint64(TOKEN_BITS), shared & np.uint64((1 << TOKEN_BITS) - 1)
+    full = token << np.uint64(64 - TOKEN_BITS)
+    return [token[np.lexsort((token, mixed, level))[:room]] for mixed in (full * _M, ~(full * _M), (full * _M2) ^ (full >> np.uint64(29)))]
 
 
-def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits of the filter, by slice, as bytes."""
-    size = (1 << FILTER_BITS) // SLICES
-    bits: dict[int, np.ndarray] = {}
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's node and set size."""
+    shingles = Shingles()
     for batch in batches:
-        at = _high_bits(batch.column(0))
-        for k in np.unique(at // size).tolist():
-            bits.setdefault(k, np.zeros(size, bool))[at[at // size == k] % size] = True
-    for k, x in bits.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(np.packbits(x).tobytes(), 1)], pa.binary())], names=["slice", "bits"])
-
-
-def _filter_bits(spark, tokens: DataFrame):
-    """A broadcast bit array of fixed size that has all ``tokens``. More tokens make it let more through, no less right."""
-    size = (1 << FILTER_BITS) // SLICES
-    rows = tokens.withColumn("s", F.shiftrightunsigned("token", 65 - SLICES.bit_length())).repartition(SLICES, "s").select("token").mapInArrow(_present, "slice long, bits binary").collect()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for r in rows:
-        bits[r["slice"] * size : (r["slice"] + 1) * size] |= np.unpackbits(np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)).view(bool)
-    return spark.sparkContext.broadcast(np.packbits(bits))
+        for part, texts in pieces(batch):
+            sets = [shingles(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([set_digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "n"])
+
+
+_ROWS = "k int, packed binary"
+
+
+def _rows(k: list[int], packed: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(packed, pa.binary())], names=["k", "packed"])
+
+
+def _told(tokens: np.ndarray, owner: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, homes: int) -> tuple[list[int], list[bytes]]:
+    """Coded tokens for the nodes that share them (owner: place among ``nodes``), as one message for each of the ``homes``
+    parts that nodes are dealt to: nodes, sizes, counts of tokens, tokens."""
+    to = (nodes.view(np.uint64) % np.uint64(homes)).astype(np.int64)
+    order = np.lexsort((owner, to[owner]))
+    tokens, owner = tokens[order], owner[order]
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
+    count, who = np.diff(np.append(first, len(owner))), owner[first]
+    cuts = np.searchsorted(to[who], np.arange(homes + 1))
+    out: tuple[list[int], list[bytes]] = ([], [])
+    for k in np.flatnonzero(cuts[:-1] < cuts[1:]).tolist():
+        w, c = who[cuts[k] : cuts[k + 1]], count[cuts[k] : cuts[k + 1]]
+        start = int(first[cuts[k]])
+        part = tokens[start : start + int(c.sum())]
+        out[0].append(k)
+        out[1].append(b"".join([np.array([len(w)], "<u8").tobytes(), nodes[w].astype("<i8").tobytes(), sizes[w].astype("<u4").tobytes(), c.astype("<u4").tobytes(), part.astype("<u8").tobytes()]))
+    return out
+
+
+def _hear(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, "<u8", 1)[0])
+    nodes, sizes, counts = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<u4", n, 8 + 8 * n), np.frombuffer(blob, "<u4", n, 8 + 12 * n)
+    return nodes, sizes, counts, np.frombuffer(blob, "<u8", -1, 8 + 16 * n)
+
+
+def _pack(tokens: np.ndarray, owner: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Ascending tokens with their owners' places (-1: a marked token, of very many nodes), and the owners' nodes and
+    sizes. Steps between tokens take four bytes if they can."""
+    steps = np.diff(tokens, prepend=np.uint64(0))
+    first, wide = int(steps[0]) if len(steps) else 0, bool((steps[1:] >= 1 << 32).any())
+    steps[:1] = 0
+    used, place = np.unique(owner, return_inverse=True)
+    marked = bool(len(used) and used[0] < 0)
+    known = used[1:] if marked else used
+    head = np.array([first, len(tokens), len(known), wide, marked], "<u8")
+    kind = "<u2" if len(used) < 1 << 16 else "<u4"
+    return b"".join([head.tobytes(), steps.astype("<u8" if wide else "<u4").tobytes(), place.astype(kind).tobytes(), nodes[known].astype("<i8").tobytes(), sizes[known].astype("<u4").tobytes()])
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    first, count, known, wide, marked = np.frombuffer(blob, "<u8", 5).tolist()
+    at = 40
+    out = []
+    for kind, n in (("<u8" if wide else "<u4", count), ("<u2" if known + marked < 1 << 16 else "<u4", count), ("<i8", known), ("<u4", known)):
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += out[-1].nbytes
+    return np.cumsum(out[0], dtype=np.uint64) + np.uint64(first), out[1].astype(np.int32) - np.int32(marked), out[2], out[3]
+
+
+def _range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
+    return ((tokens >> np.uint64(TOKEN_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _scatter(ranges: int, speakers):
+    """Kernel over (doc_id, text): packed tokens for each range, and each node's tokens that very many here share.
+    ``speakers``: of sets that very many documents have, the one document that speaks for them."""
+
+    def send(tokens: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        names, all_tokens = np.array(nodes, np.int64), np.concatenate(tokens) >> np.uint64(64 - TOKEN_BITS)
+        order = np.argsort(all_tokens)
+        token, owner = all_tokens[order], np.repeat(np.arange(len(nodes)), sizes)[order]
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        count = np.diff(np.append(first, len(token)))
+        common = np.repeat(count >= HOT, count)
+        mine = np.flatnonzero(np.bincount(owner[common], minlength=len(nodes)))
+        number = np.zeros(len(nodes), np.int64)
+        number[mine] = np.arange(len(mine))
+        if len(mine):
+            to, told = _told(_coded(token[common], _HOT_LEVEL), number[owner[common]], names[mine], sizes[mine], ranges)
+            yield _rows([-1 - k for k in to], told)
+        once = ~common
+        once[first] = True
+        owner = np.where(common, -1, owner)[once]
+        token = token[once]
+        cuts = np.searchsorted(_range_of(token, ranges), np.arange(ranges + 1))
+        some = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
+        for i in range(0, len(some), 64):
+            part = some[i : i + 64]
+            yield _rows(part, [_pack(token[cuts[k] : cuts[k + 1]], owner[cuts[k] : cuts[k + 1]], names, sizes) for k in part])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, seen, speaks = Shingles(), set(), speakers.value
+        tokens, nodes, held = [], [], 0
+        for batch in batches:
+            for part, texts in pieces(batch):
+                for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                    s = shingles(text)
+                    if not len(s) or (node := set_digest(s)) in seen or speaks.get(node, doc_id) != doc_id:
+                        continue
+                    seen.add(node)
+                    tokens.append(s)
+                    nodes.append(node)
+                    held += len(s)
+                    if held >= BATCH_TOKENS:
+                        yield from send(tokens, nodes)
+                        tokens, nodes, held = [], [], 0
+        if nodes:
+            yield from send(tokens, nodes)
+
+    return run
+
+
+def _gather(ranges: int):
+    """Kernel that passes on what tasks told, and finds the tokens of several nodes in each range, and tells these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            known = batch.filter(pa.compute.less(batch.column(0), 0))
+            if known.num_rows:
+                yield _rows([-1 - k for k in known.column(0).to_pylist()], known.column(1))
+            rest = batch.filter(pa.compute.greater_equal(batch.column(0), 0))
+            for k, blob in zip(rest.column(0).to_pylist(), rest.column(1).to_pylist(), strict=True):
+                blobs.setdefault(k, []).append(blob)
+        for k in list(blobs):
+            yield _rows(*_tell(blobs.pop(k), ranges))
+
+    return run
+
+
+def _tell(blobs: list[bytes], ranges: int) -> tuple[list[int], list[bytes]]:
+    parts = [_unpack(blob) for blob in blobs]
+    blobs.clear()
+    names, first = np.unique(np.concatenate([x[2] for x in parts]), return_index=True)
+    sizes = np.concatenate([x[3] for x in parts])[first]
+    token = np.concatenate([x[0] for x in parts])
+    owner = np.concatenate([np.where(x[1] < 0, -1, np.append(np.searchsorted(names, x[2]), -1)[x[1]]).astype(np.int32) for x in parts])
+    del parts
+    order = np.argsort(token)
+    token, owner = token[order], owner[order]
+    del order
+    # Tokens that came once, and not as shared, are of one node. The others are few.
+    alone = np.append(True, token[1:] != token[:-1]) & np.append(token[1:] != token[:-1], True) & (owner >= 0)
+    token, owner = token[~alone], owner[~alone]
+    order = np.lexsort((owner, token))
+    token, owner = token[order], owner[order]
+    fresh = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))[: len(token)]
+    token, owner = token[fresh], owner[fresh]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+    count = np.diff(np.append(first, len(token)))
+    # A mark stands first of its token.
+    several = np.repeat((count > 1) | (owner[first] < 0), count) & (owner >= 0)
+    level = np.repeat(np.where(owner[first] < 0, _HOT_LEVEL, _level(count)), count)
+    return _told(_coded(token[several], level[several]), owner[several], names, sizes, ranges)
+
+
+def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefixes of the nodes of a part, from all that was told of their shared tokens."""
+    heard = [_hear(blob) for batch in batches for blob in batch.column(1).to_pylist()]
+    if not heard:
+        return
+    node = np.concatenate([np.repeat(x[0], x[2]) for x in heard])
+    size = np.concatenate([np.repeat(x[1], x[2]) for x in heard])
+    token = np.concatenate([x[3] for x in heard])
+    heard.clear()
+    order = np.lexsort((token, node))
+    node, size, token = node[order], size[order], token[order]
+    # Copies of a set in several tasks each learn of the same tokens.
+    fresh = np.append(True, (node[1:] != node[:-1]) | (token[1:] != token[:-1]))
+    node, size, token = node[fresh], size[fresh], token[fresh]
+    cuts = np.flatnonzero(np.append(True, node[1:] != node[:-1])).tolist() + [len(node)]
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if (found := prefixes(token[a:b], int(size[a]))) is not None:
+            rows.append((int(node[a]), int(size[a]), b - a, *(x.view(np.int64) for x in found)))
+        if len(rows) >= 5000 or b == len(node):
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["node", "n", "shared", "a", "b", "c"])
+            rows = []
+
+
+def _speakers(spark, homes: DataFrame, copies: int = 256, bound: int = 200_000):
+    """Broadcast of node -> home for the nodes of ``copies`` documents or more; of more if these are over ``bound``."""
+    while homes.where(F.col("copies") >= copies).count() > bound:
+        copies *= 4
+    rows = homes.where((F.col("copies") >= copies) & F.col("home").isNotNull()).select("node", "home").collect()
+    return spark.sparkContext.broadcast({r["node"]: r["home"] for r in rows})
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, bound: int = 2_000_000) -> DataFrame:
@@ -153,8 +306,10 @@ def _texts_of(docs: DataFrame, ids: DataFrame, bound: int = 2_000_000) -> DataFr
     return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def _verify_pairs(pairs: DataFrame, docs: DataFrame, homes: DataFrame, levels, ws: Workspace) -> DataFrame:
-    """Links among ``pairs`` (u: hub, v), as (u, v)."""
+def _verify_pairs(pairs: DataFrame, docs: DataFrame, homes: DataFrame, filters: DataFrame, ws: Workspace) -> DataFrame:
+    """Links among ``pairs`` (u, v), as (u, v). Pairs whose prefixes don't meet under B and C go before texts are read."""
+    pairs = pairs.join(filters.selectExpr("node AS u", "b AS ub", "c AS uc"), "u").join(filters.selectExpr("node AS v", "b AS vb", "c AS vc"), "v")
+    pairs = ws.stage(pairs.where("arrays_overlap(ub, vb) AND arrays_overlap(uc, vc)").select("u", "v"), "candidates")
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     ids = homes.join(nodes, "node", "left_semi").select(F.col("home").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     nameless = docs.select("doc_id", "text").where("doc_id IS NULL AND text IS NOT NULL")
@@ -169,34 +324,28 @@ def _verify_pairs(pairs: DataFrame, docs: DataFrame, homes: DataFrame, levels, w
     texts = ws.stage(_texts_of(docs, ids).union(nameless).mapInArrow(sets, "node long, text string").dropDuplicates(["node"]), "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, order = Shingles(), levels.value
-        last: tuple[int | None, list[np.ndarray]] = (None, [])
-
-        def of(text: str) -> list[np.ndarray]:
-            s = shingles(text)
-            return [s, prefix(s, order, 1), prefix(s, order, 2)]
-
+        shingles = Shingles()
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             links = []
             u, v, tu, tv = (c.to_pylist() for c in batch.columns)
             for i in range(len(u)):
                 if last[0] != u[i]:
-                    last = (u[i], of(tu[i]))
-                x, y = last[1], of(tv[i])
-                if all(len(np.intersect1d(x[k], y[k], assume_unique=True)) for k in (1, 2)):
-                    both = len(np.intersect1d(x[0], y[0], assume_unique=True))
-                    if 100 * both >= PERCENT * (len(x[0]) + len(y[0]) - both):
-                        links.append(i)
+                    last = (u[i], shingles(tu[i]))
+                x, y = last[1], shingles(tv[i])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                    links.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(links, pa.int64())), batch.column(1).take(pa.array(links, pa.int64()))], names=["u", "v"])
 
     members = pairs.join(texts.selectExpr("node AS v", "text AS tv"), "v")
     both = members.join(texts.selectExpr("node AS u", "text AS tu"), "u").select("u", "v", "tu", "tv")
     links = ws.stage(both.mapInArrow(check, "u long, v long"), "links")
-    ws.drop(texts)
+    ws.drop(texts, pairs)
     return links
 
 
-def similar(docs: DataFrame, max_rounds: int = 12, pairs_per_entry: int = 4) -> DataFrame:
+def similar(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64) -> DataFrame:
     """Groups of documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more.
 
     Words are runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return, with A-Z
@@ -208,69 +357,46 @@ def similar(docs: DataFrame, max_rounds: int = 12, pairs_per_entry: int = 4) ->
     ws = Workspace(docs.sparkSession, "jaccard")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    first = ws.stage(docs.mapInArrow(_sketch, "kind int, doc_id long, node long, n long, counts binary"), "nodes")
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8).reshape(SLICES, -1)
-    for r in first.where("kind = 1").select("node", "counts").repartition(SLICES, "node").mapInArrow(_levels, "node long, counts binary").collect():
-        levels[r["node"]] = np.frombuffer(bytes(r["counts"]), np.uint8)
-    levels = spark.sparkContext.broadcast(levels.reshape(-1))
-    meta = first.where("kind = 0").select("doc_id", "node", "n")
-    homes = ws.stage(meta.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("home")), "homes")
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen, order = Shingles(), set(), levels.value
-        for batch in batches:
-            for _, texts in pieces(batch):
-                tokens, nodes, sizes, counts = [], [], [], []
-                for t in texts:
-                    s = shingles(t)
-                    if len(s) and (node := set_digest(s)) not in seen:
-                        seen.add(node)
-                        tokens.append(prefix(s, order, 0))
-                        nodes.append(node)
-                        sizes.append(len(s))
-                        counts.append(len(tokens[-1]))
-                if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["token", "node", "n"])
-
-    spread = ws.stage(docs.mapInArrow(entries, "token long, node long, n int"), "entries")
-    common = ws.stage(spread.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token"), "tokens")
-    present = _filter_bits(spark, common)
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = present.value
-        for batch in batches:
-            at = _high_bits(batch.column(0))
-            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
-
-    lists = ws.stage(spread.mapInArrow(maybe, spread.schema).join(common, "token", "left_semi").distinct().withColumn("comp", F.col("node")), "lists")
-    ws.drop(spread, common)
+    meta = ws.stage(docs.mapInArrow(_describe, "doc_id long, node long, n long"), "nodes")
+    homes = ws.stage(meta.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("home"), F.count("*").alias("copies"), F.max("n").alias("n")), "homes")
+    tokens = homes.agg(F.sum("n")).first()[0] or 0
+    ranges = max(1, -(-tokens // RANGE_TOKENS))
+
+    told = docs.mapInArrow(_scatter(ranges, _speakers(spark, homes)), _ROWS).repartition(ranges, "k").mapInArrow(_gather(ranges), _ROWS).repartition(ranges, "k")
+    filters = ws.stage(told.mapInArrow(_select, "node long, n int, shared int, a array<long>, b array<long>, c array<long>"), "prefixes")
+    # A node's own shingles stand before its shared ones: where a token stands bounds what its set can have in common
+    # with another from there on.
+    entries = filters.select(F.posexplode("a").alias("at", "token"), "node", "n", "shared").select("token", "node", "n", (F.col("shared") - F.col("at")).alias("rest"), (F.col("n") - F.col("shared")).alias("own"))
+    common = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+    lists = ws.stage(entries.join(common, "token", "left_semi").withColumn("comp", F.col("node")), "lists")
     links = None
     for k in range(max_rounds + 1):
         per = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         left, pairs = per.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
         if not pairs:
             break
-        last = k == max_rounds or pairs <= pairs_per_entry * left
-        close = f"{PERCENT} * greatest(a.n, b.n) <= 100 * least(a.n, b.n)"
+        last = k == max_rounds or k and pairs <= pairs_per_entry * left
+        # The first token that two similar sets have in common stands so early in both that enough can follow.
+        close = f"{100 + PERCENT} * least(a.rest, b.rest) >= {PERCENT} * (a.n + b.n)"
         if last:
             found = lists.alias("a").join(lists.alias("b"), F.expr(f"a.token = b.token AND a.node < b.node AND a.comp <> b.comp AND {close}")).selectExpr("a.node AS u", "b.node AS v")
         else:
-            hubs = ws.stage(lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(k))).alias("h")).select("token", "h.*"), "hubs")
+            hubs = ws.stage(lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "rest", "comp"), F.struct(F.col("own") / F.col("n"), F.xxhash64("node"))).alias("h")).select("token", "h.*"), "hubs")
             found = lists.alias("a").join(hubs.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND {close}")).selectExpr("b.node AS u", "a.node AS v")
         found = ws.stage(found.selectExpr("least(u, v) AS u", "greatest(u, v) AS v").distinct(), "pairs")
-        more = _verify_pairs(found, docs, homes, levels, ws)
+        more = _verify_pairs(found, docs, homes, filters, ws)
         ws.drop(found)
         links = more if links is None else links.union(more)
         if last:
             break
         comps = connected_components(links, ws)
         moved = lists.join(hubs.selectExpr("token", "node AS hub"), "token").where("node <> hub").drop("hub", "comp").join(comps.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        moved = ws.stage(moved.select("token", "node", "n", "comp"), "moved")
+        moved = ws.stage(moved.select("token", "node", "n", "rest", "own", "comp"), "moved")
         mixed = moved.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         found = ws.stage(moved.join(mixed, "token", "left_semi"), "lists")
         ws.drop(lists, moved, hubs)
         lists = found
-    ws.drop(lists)
+    ws.drop(lists, filters)
     if links is None:
         links = spark.createDataFrame([], "u long, v long")
     comps = ws.stage(connected_components(links, ws), "components")
