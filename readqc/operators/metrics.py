@@ -34,8 +34,7 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def per_read(reads: DataFrame) -> DataFrame:
-    """Numbers of each read that several metrics need, natively: len, gc, qlen, qsum, q20, q30."""
-    # Sum of scores from counts of characters would need one pass a score; one fold over the characters is cheaper.
+    """Numbers of each read that several metrics need: len, gc, qlen, qsum, q20, q30; all native but the sum of scores."""
     return reads.withColumns({
         "len": F.length("seq"), "gc": R.gc_count("seq"), "qlen": F.coalesce(F.length("qual"), F.lit(0)),
         "qsum": F.coalesce(quality_sum("qual"), F.lit(0)), "q20": F.coalesce(R.at_least("qual", 20), F.lit(0)), "q30": F.coalesce(R.at_least("qual", 30), F.lit(0)),
