@@ -23,7 +23,7 @@ SAFE = re.compile("[\t\n\r -~¡-ɏ]*")
 
 
 class ByteBpe:
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
