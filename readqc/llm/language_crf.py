@@ -130,7 +130,7 @@ class Model:
     def __reduce__(self):
         return Model, (self.langs, self.lexicon, self.weights, self.trans, self.start)
 
-    def label(self, texts: list[str | None], keep: int = 300_000) -> list[tuple[str, float]]:
+    def label(self, texts: list[str | None], keep: int = 200_000) -> list[tuple[str, float]]:
         """Language and its share of the words of each text; a full memory of words is emptied."""
         if len(self.known) > keep:
             self.known, self.scores, self.letter = {}, np.zeros((0, len(self.langs))), []
@@ -171,6 +171,17 @@ class Model:
         return out
 
 
+_warm: list[Model | None] = [None, None]
+
+
+def warm(model: Model) -> Model:
+    """A copy of a broadcast model that remembers words across the tasks of a worker. Only the last model's is kept, as
+    broadcast values live as long as the worker."""
+    if _warm[0] is not model:
+        _warm[:] = [model, Model(model.langs, model.lexicon, model.weights, model.trans, model.start)]
+    return _warm[1]
+
+
 def fit(rows: list[tuple[str, str]], size: int = 1 << 16, rounds: int = 18, lexicon_words: int = 300, seed: int = 7) -> Model:
     """Learn from (language, text) rows. Sentences of the rows, in runs of two to six of one language, are put together
     to one chain that switches, and the weights and transitions are fitted by gradients of its likelihood."""
@@ -258,7 +269,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = warm(shared.value)
         for batch in batches:
             for part, texts in pieces(batch):
                 lang, score = zip(*model.label(texts), strict=True)
@@ -273,7 +284,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = warm(shared.value)
         for batch in batches:
             for part, texts in pieces(batch):
                 yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in model.label(texts)], pa.bool_()))
