@@ -3,8 +3,9 @@
 Equal vectors become one node. Nodes are dealt into shards of bounded size by a hash, and each shard gets a hierarchical
 navigable small-world graph: layers of geometrically falling size, each node linked to near and mutually distant others.
 Every node is then searched for in every shard, by blocks of queries: a descent through the upper layers, and a beam in
-the lowest. A query whose beam holds nothing but links is searched again with a beam twice as wide. In every block the
-links of a sample of queries are counted exactly; while the beams find too few of them the block's beams are widened.
+the lowest. A query whose beam holds nothing but links is searched again with a beam twice as wide, and past a width with
+all products. In every block the links of samples of queries are counted exactly, of those with full beams and of the
+others; while a sample's queries find on average too small a share of their own links, all beams of its kind are widened.
 Cosines of what was found are verified in double precision. A block returns the number of links of each query, and a
 spanning forest of the links (not all pairs of a dense group), from which the components are joined.
 
@@ -183,34 +184,70 @@ class Graph:
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         return self._beam(0, queries, self._descend(queries, 0, len(self.vectors)), min(beam, len(self.vectors)))
 
-    def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of the nodes found at a cosine of ``least`` or more; beams full of such nodes are widened."""
+    def within(self, queries: np.ndarray, least: float, beam: int, widest: int = 512, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of the nodes found at a cosine of ``least`` or more; beams full of such nodes are widened. In
+        place of a beam of more than ``widest``, or of the whole graph, all products are taken."""
         out_q, out_n = [], []
         open_q = np.arange(len(queries))
-        while len(open_q):
+        while len(open_q) and beam <= widest and beam < len(self.vectors):
             ids, sims = self.search(queries[open_q], beam)
             hit = sims >= least
-            full = hit.all(1) & (beam < len(self.vectors))
+            full = hit.all(1)
             r, c = np.nonzero(hit & ~full[:, None])
             out_q.append(open_q[r])
             out_n.append(ids[r, c])
             open_q = open_q[full]
-            beam = min(2 * beam, len(self.vectors))
+            beam *= 2
+        for i in range(0, len(open_q), block):
+            part = open_q[i : i + block]
+            r, c = np.nonzero(queries[part] @ self.vectors.T >= least)
+            out_q.append(part[r])
+            out_n.append(c)
         return (np.concatenate(out_q), np.concatenate(out_n)) if out_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def audited(self, queries: np.ndarray, least: float, beam: int = 32, sample: int = 256, recall: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
-        """As ``within``, with beams wide enough that of the exact links of ``sample`` queries at least ``recall`` are found.
-        A beam as wide as the graph finds all."""
-        step = max(1, len(queries) // sample)
-        checked = np.arange(0, len(queries), step)
-        truth = 0
-        for i in range(0, len(checked), 64):
-            truth += int((queries[checked[i : i + 64]] @ self.vectors.T >= least).sum())
-        while True:
-            found = len(self.within(queries[checked], least, beam)[0])
-            if found >= recall * truth or beam >= len(self.vectors):
-                return self.within(queries, least, beam)
-            beam *= 2
+    def audited(self, queries: np.ndarray, least: float, own: np.ndarray | None = None, beam: int = 32, sample: int = 256, most: int = 2048, enough: int = 64, recall: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
+        """As ``within``, with beams wide enough that queries find on average at least ``recall`` of their exact links, those
+        of full beams and the others each by themselves. ``own`` is each query's place in the graph (-1: none), no link of
+        it. A sample has ``sample`` queries, and up to ``most`` until ``enough`` of them have links."""
+        own = np.full(len(queries), -1) if own is None else own
+        q, n = self.within(queries, least, beam)
+        full = np.bincount(q, minlength=len(queries)) >= beam
+        for part in (np.flatnonzero(~full), np.flatnonzero(full)):
+            # Strides over the part, one place on each time, so that any first of them lie all over it.
+            step = max(1, len(part) // 64)
+            order = np.concatenate([part[k::step] for k in range(step)])[:most]
+            checked, truth, linked = [], [], 0
+            for i in range(0, len(order), 64):
+                if i >= sample and linked >= enough:
+                    break
+                some = order[i : i + 64]
+                near = queries[some] @ self.vectors.T >= least
+                near[np.flatnonzero(own[some] >= 0), own[some][own[some] >= 0]] = False
+                checked.append(some)
+                truth.append(near.sum(1))
+                linked += int((truth[-1] > 0).sum())
+            if not linked:
+                continue
+            checked, truth = np.concatenate(checked), np.concatenate(truth)
+            checked, truth = checked[truth > 0], truth[truth > 0]
+            place = np.full(len(queries), -1)
+            place[checked] = np.arange(len(checked))
+
+            def share(q: np.ndarray, n: np.ndarray) -> float:
+                counts = np.bincount(q[n != own[checked[q]]], minlength=len(checked))
+                return float(np.minimum(counts / truth, 1).mean())
+
+            at = np.flatnonzero(place[q] >= 0)
+            width, good = beam, share(place[q[at]], n[at]) >= recall
+            while not good:
+                width *= 2
+                good = width >= len(self.vectors) or share(*self.within(queries[checked], least, width)) >= recall
+            if width > beam:
+                inside = np.zeros(len(queries), bool)
+                inside[part] = True
+                more_q, more_n = self.within(queries[part], least, width)
+                q, n = np.concatenate([q[~inside[q]], part[more_q]]), np.concatenate([n[~inside[q]], more_n])
+        return q, n
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -283,7 +320,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
             vectors, node, copies = f["vectors"], f["node"], f["copies"]
             graph = Graph(vectors.astype(np.float32), [f[f"layer{k}"] for k in range(sum(x.startswith("layer") for x in f.files))])
         queries, names = unit(_matrix(left["v"])), left["node"].to_numpy()
-        q, r = graph.audited(queries.astype(np.float32), least - _SLACK)
+        place = np.minimum(np.searchsorted(node, names), len(node) - 1)
+        q, r = graph.audited(queries.astype(np.float32), least - _SLACK, np.where(node[place] == names, place, -1))
         links = np.zeros(len(names), np.int64)
         kept_q, kept_r = [], []
         for i in range(0, len(q), 65_536):

@@ -187,6 +187,25 @@ def test_graph_recall():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), best.tolist(), strict=True)]) > 0.9
 
 
+def test_audit_counts_by_query():
+    """Links of small groups that the beams miss aren't made up for by those of a hot group."""
+    rng = np.random.default_rng(8)
+    hot, pairs = 2000, 2000
+    base = rng.normal(size=(pairs, 32))
+    v = np.concatenate([rng.normal(size=32) + rng.normal(size=(hot, 32)) * 0.1, base, base + rng.normal(size=base.shape) * 0.1])
+    v = hnsw.unit(v).astype(np.float32)
+    # No node of a small group is anybody's neighbour: beams meet the hot group alone.
+    graph = hnsw.Graph(v, [np.stack([(np.arange(len(v)) + d) % hot for d in rng.integers(1, hot, 32)], 1).astype(np.int32)])
+    queries = np.arange(0, len(v), 16)
+    true = v[queries] @ v.T >= 0.9
+    for own in ((), (queries,)):
+        q, n = graph.audited(v[queries], 0.9, *own)
+        assert true[q, n].all() and len(set(zip(q.tolist(), n.tolist(), strict=True))) == len(q)
+        found = np.bincount(q, minlength=len(queries))
+        for part in (queries < hot, queries >= hot):
+            assert (found / true.sum(1))[part].mean() >= 0.99
+
+
 def test_pipeline(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
