@@ -2,13 +2,14 @@
 
 A file is a sequence of shards, each a row with a binary payload: a grammar and the ids of some documents under it.
 Frequent pairs of neighbouring ids (never across documents) are replaced by nonterminals, round by round: a round counts
-the pairs, gives the most frequent ones new symbols, and replaces their leftmost occurrences. Rules are stored with the
+all pairs, gives the most frequent ones new symbols, and replaces them, until no pair occurs twice. Rules are stored with the
 lengths they expand to, and documents with their places in the sequence and in the ids, so that a document, or an id of
 it, is decoded without the others.
 
-Payload, little-endian: ``<4sIIIIB3x`` magic RPR1, documents, rules, symbols, first rule's symbol, bytes of a symbol (2
-or 4); then doc_id int64[documents], null flag of it uint8[documents], place in the sequence uint32[documents + 1], place
-in the ids uint64[documents + 1], rules uint32[rules][2], expansion lengths uint32[rules], the sequence.
+Payload, little-endian: ``<4sIIIIBB2x`` magic RPR2, documents, rules, symbols, first rule's symbol, bits of a symbol, bits
+of a length; then doc_id int64[documents], null flag of it uint8[documents], place in the sequence uint32[documents + 1],
+place in the ids uint64[documents + 1], and as bits, lowest first, each filled up to a byte: the rules' symbols [rules][2],
+expansion lengths [rules], the sequence.
 """
 
 from __future__ import annotations
@@ -26,61 +27,83 @@ from pyspark.sql import functions as F
 from readqc.llm.byte_bpe import load
 from readqc.llm.common import Workspace, pieces
 
-HEAD = struct.Struct("<4sIIIIB3x")
-_M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-
-
-def _frequent(sym: np.ndarray, last: np.ndarray, least: int, most: int, bits: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Up to ``most`` pairs that occur ``least`` times, the most frequent first (k x 2); all places they stand at, and
-    which pair each place has. Of the pairs that share a bucket of a hash one is counted in this round."""
-    a, b = sym[:-1], sym[1:]
-    bucket = ((a * _M1 ^ b * _M2) >> np.uint32(32 - bits)).astype(np.intp)
-    bucket[last[:-1]] = 0
-    place = np.zeros(1 << bits, np.int32)
-    place[bucket] = np.arange(len(bucket), dtype=np.int32)
-    left, right = a[place], b[place]
-    same = left[bucket] == a
-    same &= right[bucket] == b
-    bucket *= same
-    counts = np.bincount(bucket, minlength=1 << bits)
-    counts[0] = 0  # where pairs across documents, and those not counted, went
+HEAD = struct.Struct("<4sIIIIBB2x")
+
+
+def _to_bits(x: np.ndarray, width: int, block: int = 1 << 18) -> bytes:
+    """Numbers of ``width`` bits each, one after another; a block fills whole bytes."""
+    shifts = np.arange(width, dtype=np.uint32)
+    parts = (x[i : i + block].astype(np.uint32)[:, None] >> shifts & 1 for i in range(0, len(x), block))
+    return b"".join(np.packbits(p.astype(np.uint8).ravel(), bitorder="little").tobytes() for p in parts)
+
+
+def _of_bits(data: np.ndarray, n: int, width: int, block: int = 1 << 18) -> np.ndarray:
+    out = np.zeros(n, np.uint32)
+    for i in range(0, n, block):
+        m = min(block, n - i)
+        bits = np.unpackbits(data[i * width // 8 : -(-(i + m) * width // 8)], count=m * width, bitorder="little").reshape(m, width)
+        for k in range(width):
+            out[i : i + m] |= bits[:, k].astype(np.uint32) << np.uint32(k)
+    return out
+
+
+def _frequent(sym: np.ndarray, last: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` most frequent pairs, and those as frequent as the last of them, of all that occur ``least`` times
+    without overlap, the most frequent first (k x 2); all places they stand at, and which pair each place has."""
+    a, b = sym[:-1].astype(np.uint64), sym[1:].astype(np.uint64)
+    twin = a == b
+    run = np.flatnonzero(twin & ~np.r_[False, twin[:-1]])  # of a run of one symbol every other pair counts, from the first
+    begin = run[np.cumsum(np.isin(np.arange(len(a)), run, assume_unique=True)) - 1] if len(run) else np.zeros(len(a), np.intp)
+    where = np.flatnonzero(~last[:-1] & ~(twin & ((np.arange(len(a)) - begin) % 2 == 1)))
+    width, bits = int(sym.max()).bit_length(), len(sym).bit_length()
+    key = a[where] << np.uint64(width) | b[where]
+    if 2 * width + bits <= 64:
+        packed = np.sort(key << np.uint64(bits) | where.astype(np.uint64))
+        key, where = packed >> np.uint64(bits), (packed & np.uint64((1 << bits) - 1)).astype(np.intp)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, where = key[order], where[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    counts = np.diff(np.r_[start, len(key)])
     often = np.flatnonzero(counts >= least)
-    often = often[np.argsort(-counts[often], kind="stable")[:most]]
-    number = np.full(1 << bits, -1, np.int32)
+    often = often[np.argsort(-counts[often], kind="stable")]
+    if len(often) > most:
+        often = often[counts[often] >= counts[often[most - 1]]]
+    number = np.full(len(start), -1, np.int32)
     number[often] = np.arange(len(often))
-    which = number[bucket]
+    which = np.full(len(a), -1, np.int32)
+    which[where] = np.repeat(number, counts)
     at = np.flatnonzero(which >= 0)
-    return np.stack([left[often], right[often]], 1), at, which[at]
+    first = where[start[often]]
+    return np.stack([sym[first], sym[first + 1]], 1), at, which[at]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 24, most_rules: int = 15_000, gain: float = 0.005) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 2, a_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (k x 2; rule i makes symbol base + i), the sequence, and the documents' ends in it. Rounds go on until no
-    pair occurs ``least`` times, or replacing all that do would shorten the sequence by a share of less than ``gain``."""
+    pair occurs ``least`` times without overlap. Where two of a round's pairs overlap, the more frequent one is replaced; a
+    pair of which some are left keeps its symbol."""
     sym, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends - 1] = True
-    rules: list[np.ndarray] = []
-    made = 0
-    while len(sym) > 1 and made < most_rules:
-        pairs, at, which = _frequent(sym, last, least, min(4096, most_rules - made))
-        if len(at) < gain * len(sym):
+    symbol: dict[tuple[int, int], int] = {}
+    while len(sym) > 1:
+        pairs, at, which = _frequent(sym, last, least, a_round)
+        if not len(at):
             break
-        fresh = np.append(True, np.diff(at) != 1)
-        begin = at[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        free = (at - begin) % 2 == 0
+        beside = np.diff(at) == 1
+        free = np.ones(len(at), bool)
+        free[1:] &= ~beside | (which[1:] < which[:-1])
+        free[:-1] &= ~beside | (which[:-1] < which[1:])
         at, which = at[free], which[free]
-        good = np.bincount(which, minlength=len(pairs)) >= 3
+        good = np.bincount(which, minlength=len(pairs)) >= least  # the first one always is
         number = np.cumsum(good) - 1
         at, which = at[good[which]], which[good[which]]
-        if not len(at):
-            break
-        sym[at] = (base + made + number[which]).astype(np.uint32)
+        symbols = np.array([symbol.setdefault((a, b), base + len(symbol)) for a, b in pairs[good].tolist()], np.uint32)
+        sym[at] = symbols[number[which]]
         last[at] = last[at + 1]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
         sym, last = sym[keep], last[keep]
-        rules.append(pairs[good])
-        made += len(rules[-1])
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    table = np.array(list(symbol), np.uint32).reshape(-1, 2)
     return table, sym, np.flatnonzero(last) + 1
 
 
@@ -97,12 +120,13 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> bytes:
     sizes = np.array([len(x) for x in ids], np.int64)
     starts = np.r_[0, np.cumsum(sizes)]
     rules, seq, ends = compress(np.concatenate(ids), starts[1:], base)
-    width = 2 if base + len(rules) <= 1 << 16 else 4
+    spans = lengths(rules, base)
+    width, long = max(int(base + len(rules)).bit_length(), int(seq.max(initial=0)).bit_length()), int(spans.max(initial=0)).bit_length()
     return b"".join([
-        HEAD.pack(b"RPR1", len(doc_ids), len(rules), len(seq), base, width),
+        HEAD.pack(b"RPR2", len(doc_ids), len(rules), len(seq), base, width, long),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(),
         np.r_[0, ends].astype("<u4").tobytes(), starts.astype("<u8").tobytes(),
-        rules.astype("<u4").tobytes(), lengths(rules, base).astype("<u4").tobytes(), seq.astype(f"<u{width}").tobytes(),
+        _to_bits(rules.ravel(), width), _to_bits(spans, long), _to_bits(seq, width),
     ])
 
 
@@ -110,8 +134,8 @@ class Shard:
     """Reads a payload; decodes all of it, one document, or one id."""
 
     def __init__(self, payload: bytes):
-        magic, docs, rules, symbols, self.base, width = HEAD.unpack_from(payload)
-        if magic != b"RPR1":
+        magic, docs, rules, symbols, self.base, width, long = HEAD.unpack_from(payload)
+        if magic != b"RPR2":
             raise ValueError("not a shard of token ids")
         at = HEAD.size
 
@@ -121,11 +145,14 @@ class Shard:
             at += out.nbytes
             return out
 
+        def numbers(n: int, width: int) -> np.ndarray:
+            return _of_bits(take("u1", -(-n * width // 8)), n, width)
+
         ids, null = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)]
         self.places, self.starts = take("<u4", docs + 1).astype(np.int64), take("<u8", docs + 1).astype(np.int64)
-        self.rules, self.sizes = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules).astype(np.int64)
-        self.seq = take(f"<u{width}", symbols)
+        self.rules, self.sizes = numbers(2 * rules, width).reshape(-1, 2), numbers(rules, long).astype(np.int64)
+        self.seq = numbers(symbols, width)
         # All rules' expansions, one after another: each is that of its left symbol, then its right one.
         offset = np.r_[0, np.cumsum(self.sizes)]
         flat = np.empty(int(offset[-1]), np.uint32)

@@ -113,3 +113,20 @@ def test_repair_round_trip(kind):
         assert len(shard.rules) and len(shard.seq) < 0.5 * sum(map(len, docs))
         flat = [len(shard.expand(np.array([50257 + i]))) for i in range(len(shard.rules))]
         assert flat == shard.sizes.tolist()
+
+
+def test_repair_leaves_no_pair():
+    """No pair is left that occurs twice without overlap, rare and equal symbols among them."""
+    rng = np.random.default_rng(5)
+    for n, symbols in ((40_000, 50_000), (5000, 40), (3000, 2), (1, 1), (2, 1), (9, 1)):
+        ids = np.minimum(rng.zipf(1.3, n), symbols).astype("<u4")
+        ends = np.unique(np.r_[rng.integers(1, n + 1, n // 200), n])
+        rules, seq, places = repair.compress(ids, ends, 50_257)
+        left, taken = Counter(), {}
+        inner = set((places - 1).tolist())
+        for i, pair in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)):
+            if i not in inner and taken.get(pair) != i - 1:
+                left[pair] += 1
+                taken[pair] = i
+        assert max(left.values(), default=0) < 2
+        assert len(rules) == len(set(map(tuple, rules.tolist())))
