@@ -29,6 +29,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from readqc.llm.common import Workspace, pieces
 from readqc.llm.components import connected_components
@@ -354,6 +355,11 @@ def similar(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64) ->
     reachable by links, itself included; a null id never is the smallest beside another). Repeated rows are copies. Only
     doc_id and text are read. Shingles and sets are told apart by 64-bit hashes.
     """
+    return _groups(docs, max_rounds, pairs_per_entry).drop("node")
+
+
+def _groups(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64) -> DataFrame:
+    """As ``similar``, with each row's set digest (node)."""
     ws = Workspace(docs.sparkSession, "jaccard")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -403,18 +409,37 @@ def similar(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64) ->
     grouped = homes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("home").alias("component_id"))
     ids = grouped.join(least, "component").select("node", "component_id")
-    return meta.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return meta.join(ids, "node", "left").select("doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+_NODE = "_set_digest"
 
 
 def keep_one(docs: DataFrame, bound: int = 2_000_000) -> DataFrame:
-    """One document of each group, the one with the smallest id; columns stay as they are. Of rows that repeat an id one
-    stays; a row with a null id stays. The ids to remove are broadcast only if they are ``bound`` at most."""
-    groups = Workspace(docs.sparkSession, "kept").stage(similar(docs))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each group, the one with the smallest id; columns stay as they are. Only rows that are copies go,
+    not others with their ids. Of rows left that repeat an id one stays, the one whose text is smallest; a row with a null
+    id stays. The ids to remove are broadcast only if they are ``bound`` at most."""
+    groups = Workspace(docs.sparkSession, "kept").stage(_groups(docs))
+    copies, others = groups.where("doc_id <> component_id"), groups.where("doc_id = component_id")
+    gone = copies.select("doc_id").distinct()
     kept = docs.join(F.broadcast(gone) if gone.count() <= bound else gone, "doc_id", "left_anti")
-    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = others.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    mixed = others.join(copies.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").distinct()
+    if n := mixed.count():
+        # Some rows of these ids are copies and some aren't; their texts tell which.
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                nodes = [x for b in _describe(iter([batch.select(["doc_id", "text"])])) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, _NODE])
+
+        rows = docs.join(F.broadcast(mixed) if n <= bound else mixed, "doc_id", "left_semi").select(docs.columns)
+        rows = rows.mapInArrow(mark, StructType([*docs.schema.fields, StructField(_NODE, LongType())]))
+        away = copies.join(mixed, "doc_id", "left_semi").select("doc_id", F.col("node").alias(_NODE)).distinct()
+        kept = kept.select(docs.columns).unionByName(rows.join(away, ["doc_id", _NODE], "left_anti").select(docs.columns))
     n = again.count()
     if not n:
         return kept
     again = F.broadcast(again) if n <= bound else again
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    every = F.struct(*docs.columns)
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(every, F.struct("text", F.xxhash64(*docs.columns))).alias("row")).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").unionByName(one)

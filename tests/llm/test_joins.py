@@ -137,6 +137,17 @@ def test_one_of_each_group_stays(spark, odd, none, copies):
     assert jaccard_join.keep_one(none).count() == 0
 
 
+def test_only_copies_go(spark):
+    """Of an id on two rows the copy goes and the other text stays; of two that are no copies the smaller text stays."""
+    a, b, c, d = ("one two three four five six", "a lone text that has no copy", "zzz is the larger text of the two", "aaa is the smaller text of the two")
+    rows = [row(1, a), row(2, a), row(2, b), row(3, d), row(3, c), row(4, a), row(4, "")]
+    for n in (1, 4):
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(n)
+        kept = jaccard_join.keep_one(docs)
+        assert kept.schema == docs.schema
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (2, b), (3, d), (4, "")]
+
+
 @pytest.fixture(scope="module")
 def vectors():
     rng = np.random.default_rng(4)
