@@ -1,8 +1,9 @@
 """Language ID of code-switched text by a linear-chain conditional random field over words.
 
-Features of a word are its affixes, its character n-grams with its edges, and lexicon features (the word itself, if it is
-among the frequent words of a language in the training rows); hashed into a fixed table of weights. Transitions between
-the languages of neighbouring words are learned with them, from training sentences put together to switch language.
+A run of over 40 letters, as of text without spaces, is cut into consecutive words of 40 and a rest. Features of a word
+are its affixes, its character n-grams with its edges, and lexicon features (the word itself, if it is among the frequent
+words of a language in the training rows); hashed into a fixed table of weights. Transitions between the languages of
+neighbouring words are learned with them, from training sentences put together to switch language.
 Forward-backward labels all words of a slice at once: the words of all its texts are one chain with restarts, cut into
 blocks; the products of the blocks' transfer matrices link the blocks exactly.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from readqc.llm.common import pieces
 
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"[^\W\d_]{1,40}")  # a longer run of letters is several words, one after another
 UNKNOWN = "und"
 _BLOCK = 128
 
@@ -45,7 +46,7 @@ class Places(dict):
 
 def features(word: str, lexicon: set[str], places: Places) -> list[int]:
     """Places of a word's features: affixes of one to three letters, character 1- to 3-grams, the frequent word itself."""
-    w = f"<{word if len(word) <= 40 else word[:20] + word[-20:]}>"
+    w = f"<{word}>"
     found = [w[:2] + "-", w[:3] + "-", w[:4] + "-", "-" + w[-2:], "-" + w[-3:], "-" + w[-4:], *w]
     found += [w[i : i + 2] for i in range(len(w) - 1)]
     found += [w[i : i + 3] for i in range(len(w) - 2)]

@@ -189,6 +189,17 @@ def test_switching_words(spark, sf_dir):
     assert lang in ("en", "de") and 0.3 < score < 0.8
 
 
+def test_all_of_a_long_run_counts():
+    """What stands between the ends of a long run of letters is looked at, and counts by its length."""
+    rng = random.Random(9)
+    glued = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    model = language_crf.fit([(lang, " ".join(glued(x, rng.randint(3, 40)) for _ in range(60)) + ".") for lang, x in (("aa", "abcde"), ("zz", "vwxyz")) for _ in range(20)])
+    ends, middle = glued("vwxyz", 40), glued("abcde", 10_000)
+    (lang, score), (mixed, share) = model.label([ends + middle + ends, middle[:1000] + " " + glued("vwxyz", 20)])
+    assert lang == "aa" and score > 0.95 and mixed == "aa" and share > 0.9
+    assert "".join(language_crf.words_of(middle)) == middle
+
+
 def test_op10_rows(spark, odd, odd_rows, none, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = knn_quality.train(docs, labels)
