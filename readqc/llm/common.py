@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: list[str] = []
@@ -52,21 +56,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", chars: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of a batch with about ``chars`` characters of text each (a longer text is a slice of its own), and their
-    texts. Bounds what a kernel holds beside the batch."""
-    texts = batch.column(column).to_pylist()
-    start = total = 0
-    for i, text in enumerate(texts):
-        if text:
-            if total and total + len(text) > chars:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, total = i, 0
-            total += len(text)
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
-
-
-def named(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
-    """A batch of the given columns."""
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+def pieces(batch: pa.RecordBatch, column: str = "text", chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of a batch with about ``chars`` bytes of text each (a longer text is a slice of its own), and their texts.
+    Texts become Python strings slice by slice, which bounds what a kernel holds beside the batch."""
+    texts = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + chars, "right")))
+        yield batch.slice(start, stop - start), texts.slice(start, stop - start).to_pylist()
+        start = stop
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one the worker gives back what memory it holds, as it lives on for later tasks."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from readqc.llm import decontaminate, interleave, knn_quality, language_crf, secret_scan
 from tests.llm.conftest import SCHEMA, prose, row
@@ -185,7 +186,7 @@ def test_switching_words(spark, sf_dir):
     # A text half of one language, half of another, has a share between.
     by = {r.lang: r.text for r in docs.where("lang IN ('en', 'de') AND length(text) BETWEEN 500 AND 3000").orderBy("doc_id").collect()}
     mixed = by["en"][:400] + "\n" + by["de"][:400]
-    (lang, score), = model.label([mixed])
+    (lang,), (score,) = model.label([mixed])
     assert lang in ("en", "de") and 0.3 < score < 0.8
 
 
@@ -195,9 +196,73 @@ def test_all_of_a_long_run_counts():
     glued = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     model = language_crf.fit([(lang, " ".join(glued(x, rng.randint(3, 40)) for _ in range(60)) + ".") for lang, x in (("aa", "abcde"), ("zz", "vwxyz")) for _ in range(20)])
     ends, middle = glued("vwxyz", 40), glued("abcde", 10_000)
-    (lang, score), (mixed, share) = model.label([ends + middle + ends, middle[:1000] + " " + glued("vwxyz", 20)])
+    (lang, mixed), (score, share) = model.label([ends + middle + ends, middle[:1000] + " " + glued("vwxyz", 20)])
     assert lang == "aa" and score > 0.95 and mixed == "aa" and share > 0.9
-    assert "".join(language_crf.words_of(middle)) == middle
+    codes, lens, _ = language_crf.words_of([middle])
+    assert "".join(map(chr, codes)) == middle and lens.tolist() == [40] * 250
+
+
+def label_by_hand(model, texts):
+    """Words by a pattern, features word by word, and a chain for each text."""
+    out = []
+    for text in texts:
+        found = [w for run in re.findall(r"[^\W\d_]+", (text or "").lower()) for w in re.findall(".{1,40}", run)]
+        if not any(c.isalpha() for w in found for c in w):
+            out.append(("und", 0.0))
+            continue
+        emit = []
+        for w in found:
+            codes = np.array([ord(c) for c in w], np.uint32)
+            places, _ = language_crf.features(codes, np.array([len(w)]), model.lexicon, len(model.weights))
+            score = model.weights[places].sum(0) if any(map(str.isalpha, w)) else np.zeros(len(model.langs))
+            emit.append(np.exp(score - score.max()))
+        ahead, back = [model.start * emit[0]], [np.ones(len(model.langs))]
+        for e in emit[1:]:
+            ahead.append((ahead[-1] / ahead[-1].sum() @ model.trans) * e)
+        for e in emit[:0:-1]:
+            v = model.trans @ (e * back[-1])
+            back.append(v / v.sum())
+        mass = np.zeros(len(model.langs))
+        for w, a, b in zip(found, ahead, back[::-1], strict=True):
+            if any(map(str.isalpha, w)):
+                mass += a * b / (a * b).sum()
+        out.append((model.langs[int(mass.argmax())], float(mass.max() / mass.sum())))
+    return out
+
+
+def test_op6_by_hand(spark, odd, odd_rows, sf_dir):
+    """The query's rows, and odd ones, text by text and word by word."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_crf.train(docs)
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(60).collect()] + [(r[0], r[1]) for r in odd_rows if len(r[1] or "") < 5000] + [(-1, "²½ ¹ ²"), (-2, "a"), (-3, "ª İSTANBUL ß ﬁ")]
+    got = language_crf.identify(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()
+    for r, (lang, score) in zip(got, label_by_hand(model, [t for _, t in rows]), strict=True):
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+def test_features_by_hand():
+    """Each word's places, by kind, whatever words stand beside it."""
+    words = ["a", "été", "über", "straße", "o", "ab", "x" * 40]
+    codes, lens, _ = language_crf.words_of(words)
+    flat, counts = language_crf.features(codes, lens, np.zeros(0, np.uint64), 1 << 16)
+    place = lambda kind, *s: int(language_crf._place(kind, *(np.array([ord(c)]) for c in s), size=1 << 16)[0])
+    at = 0
+    for word, n in zip(words, counts.tolist(), strict=True):
+        w = f"<{word}>"
+        want = [place(1, c) for c in w] + [place(2, *w[i : i + 2]) for i in range(len(w) - 1)] + [place(3, *w[i : i + 3]) for i in range(len(w) - 2)]
+        for k, x in enumerate((w, w[::-1])):
+            want += [place(4 + k, *x[:2]), place(6 + k, *x[:3]), place(8 + k, *x[:3], x[min(3, len(x) - 1)])]
+        assert Counter(flat[at : at + n].tolist()) == Counter(want)
+        at += n
+
+
+def test_the_sample_is_bounded(spark):
+    """Null ids, repeated rows and many languages don't bring more rows to the driver."""
+    rows = [(None, f"null id {i}", "aa") for i in range(3000)] + [(7, "one text again and again", "aa")] * 3000 + [(i, f"words {i}", "bb") for i in range(3000)] + [(i, f"{i}", f"l{i % 50}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    taken = Counter(lang for lang, _ in language_crf.sample(docs, F.lit(True), 200, 1000, 10))
+    assert len(taken) == 10 and max(taken.values()) == 200 and taken["bb"] > 150
+    assert len(language_crf.sample(docs, F.lit(True), 10_000, 1000, 100)) == 3001 + 3000 + 500
 
 
 def test_op10_rows(spark, odd, odd_rows, none, sf_dir):
