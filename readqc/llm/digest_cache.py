@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from readqc.llm.byte_bpe import load
-from readqc.llm.common import Workspace, pieces
+from readqc.llm.common import Workspace, lean, pieces
 
 SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -60,13 +60,13 @@ def fill(docs: DataFrame, tokenizer_path: str, version: str, cache: CountCache)
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
         for batch in _first_of_each(batches):
-            for part, texts in pieces(batch, chars=1 << 20):
-                counts = [len(ids) // 4 for ids in bpe(texts)]
+            for part, texts in pieces(batch):
+                counts = bpe.count(texts)
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts), pa.string()), part.column(0), pa.array(counts, pa.int64())], names=["version", "digest", "n_tokens"])
 
     texts = docs.select(digest_of("text").alias("digest"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_first_of_each, "digest binary, text string")
     missing = texts.repartition("digest").join(cache.read(version).select("digest"), "digest", "left_anti")
-    cache.append(missing.mapInArrow(encode, SCHEMA))
+    cache.append(missing.mapInArrow(lambda batches: lean(encode(batches)), SCHEMA))
 
 
 def digest_of(text_col: str):

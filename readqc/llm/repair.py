@@ -25,94 +25,148 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readqc.llm.byte_bpe import load
-from readqc.llm.common import Workspace, pieces
+from readqc.llm.common import Workspace, lean, pieces
+from readqc.llm.words import Known, mixed, spread
 
 HEAD = struct.Struct("<4sIIIIBB2x")
 
 
-def _to_bits(x: np.ndarray, width: int, block: int = 1 << 18) -> bytes:
+def _to_bits(x: np.ndarray, width: int, block: int = 1 << 16) -> bytes:
     """Numbers of ``width`` bits each, one after another; a block fills whole bytes."""
-    shifts = np.arange(width, dtype=np.uint32)
-    parts = (x[i : i + block].astype(np.uint32)[:, None] >> shifts & 1 for i in range(0, len(x), block))
-    return b"".join(np.packbits(p.astype(np.uint8).ravel(), bitorder="little").tobytes() for p in parts)
+    out = []
+    for i in range(0, len(x), block):
+        bits = np.unpackbits(x[i : i + block].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
+        out.append(np.packbits(bits, axis=None, bitorder="little").tobytes())
+    return b"".join(out)
 
 
-def _of_bits(data: np.ndarray, n: int, width: int, block: int = 1 << 18) -> np.ndarray:
+def _of_bits(data: np.ndarray, n: int, width: int, block: int = 1 << 16) -> np.ndarray:
     out = np.zeros(n, np.uint32)
     for i in range(0, n, block):
         m = min(block, n - i)
         bits = np.unpackbits(data[i * width // 8 : -(-(i + m) * width // 8)], count=m * width, bitorder="little").reshape(m, width)
-        for k in range(width):
-            out[i : i + m] |= bits[:, k].astype(np.uint32) << np.uint32(k)
+        some = np.packbits(bits, axis=1, bitorder="little")
+        out[i : i + m].view(np.uint8).reshape(m, 4)[:, : some.shape[1]] = some
     return out
 
 
-def _frequent(sym: np.ndarray, last: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``most`` most frequent pairs, and those as frequent as the last of them, of all that occur ``least`` times
-    without overlap, the most frequent first (k x 2); all places they stand at, and which pair each place has."""
-    a, b = sym[:-1].astype(np.uint64), sym[1:].astype(np.uint64)
-    twin = a == b
-    run = np.flatnonzero(twin & ~np.r_[False, twin[:-1]])  # of a run of one symbol every other pair counts, from the first
-    begin = run[np.cumsum(np.isin(np.arange(len(a)), run, assume_unique=True)) - 1] if len(run) else np.zeros(len(a), np.intp)
-    where = np.flatnonzero(~last[:-1] & ~(twin & ((np.arange(len(a)) - begin) % 2 == 1)))
-    width, bits = int(sym.max()).bit_length(), len(sym).bit_length()
-    key = a[where] << np.uint64(width) | b[where]
-    if 2 * width + bits <= 64:
-        packed = np.sort(key << np.uint64(bits) | where.astype(np.uint64))
-        key, where = packed >> np.uint64(bits), (packed & np.uint64((1 << bits) - 1)).astype(np.intp)
-    else:
-        order = np.argsort(key, kind="stable")
-        key, where = key[order], where[order]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    counts = np.diff(np.r_[start, len(key)])
-    often = np.flatnonzero(counts >= least)
-    often = often[np.argsort(-counts[often], kind="stable")]
-    if len(often) > most:
-        often = often[counts[often] >= counts[often[most - 1]]]
-    number = np.full(len(start), -1, np.int32)
-    number[often] = np.arange(len(often))
-    which = np.full(len(a), -1, np.int32)
-    which[where] = np.repeat(number, counts)
-    at = np.flatnonzero(which >= 0)
-    first = where[start[often]]
-    return np.stack([sym[first], sym[first + 1]], 1), at, which[at]
-
-
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 2, a_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (k x 2; rule i makes symbol base + i), the sequence, and the documents' ends in it. Rounds go on until no
-    pair occurs ``least`` times without overlap. Where two of a round's pairs overlap, the more frequent one is replaced; a
-    pair of which some are left keeps its symbol."""
-    sym, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
+    """Rules (k x 2; rule i makes symbol base + i), the sequence, and the documents' ends in it. A round counts pairs
+    exactly and replaces the ``a_round`` most frequent ones, and those as frequent as the last of them. Rounds go on until no
+    pair occurs ``least`` times without overlap (of a run of one symbol every other pair counts). Where two of a round's
+    pairs overlap, the more frequent one is replaced; a pair of which some are left keeps its symbol.
+
+    Symbols are linked, so that a round costs what it looks at: places whose pair was frequent, is of equal symbols, or has
+    changed. A pair that occurs too seldom gets no new place unless one of its symbols is put anew, and then all places of
+    such a symbol are looked at."""
+    n = len(ids)
+    if not n:
+        return np.zeros((0, 2), np.uint32), ids.astype(np.uint32), np.zeros(0, np.int64)
+    sym, last, gone = ids.astype(np.uint32), np.zeros(n, bool), np.zeros(n + 1, bool)
     last[ends - 1] = True
-    symbol: dict[tuple[int, int], int] = {}
-    while len(sym) > 1:
-        pairs, at, which = _frequent(sym, last, least, a_round)
-        if not len(at):
+    after, ahead = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    rules, known = [np.zeros((0, 2), np.uint32)], Known()
+    bits = np.uint64(n.bit_length())
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    places = np.flatnonzero(~last)
+    while len(places):
+        a, b = sym[places], sym[after[places]]
+        look = np.zeros(n + 1, bool)
+        width = np.uint64((base + known.n).bit_length())
+        key = a.astype(np.uint64) << width | b
+        some = len(places)
+        if len(twin := np.flatnonzero(a == b)):
+            at = places[twin]
+            look[at] = True
+            fresh = np.r_[True, after[at[:-1]] != at[1:]]
+            begin = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            skip = twin[(np.arange(len(twin)) - begin) % 2 == 1]
+            key[skip] = (np.uint64(1) << 2 * width) - np.uint64(1)  # no pair; sorts last
+            some -= len(skip)
+        if 2 * width + bits <= 64:
+            key <<= bits
+            key |= places.view(np.uint64)
+            key.sort()
+            key = key[:some]
+            counted = (key & mask).view(np.int64)
+            key >>= bits
+        else:
+            order = np.argsort(key, kind="stable")[:some]
+            key, counted = key[order], places[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        counts = np.diff(np.r_[start, len(key)])
+        often = np.flatnonzero(counts >= least)
+        if not len(often):
             break
-        beside = np.diff(at) == 1
+        chosen, n_of = often, counts[often]
+        if len(often) > a_round:
+            chosen = often[n_of >= np.partition(n_of, len(often) - a_round)[len(often) - a_round]]
+        chosen = chosen[np.argsort(-counts[chosen], kind="stable")]
+        number = np.full(len(start), -1, np.int32)
+        number[often] = len(often)
+        number[chosen] = np.arange(len(chosen))
+        which = np.repeat(number, counts)
+        look[counted[which >= 0]] = True
+        some = np.flatnonzero((which >= 0) & (which < len(chosen)))
+        by_place = np.sort(counted[some] << 32 | which[some])
+        at, which = by_place >> 32, by_place & 0xFFFFFFFF
+        beside = after[at[:-1]] == at[1:]
         free = np.ones(len(at), bool)
         free[1:] &= ~beside | (which[1:] < which[:-1])
         free[:-1] &= ~beside | (which[:-1] < which[1:])
         at, which = at[free], which[free]
-        good = np.bincount(which, minlength=len(pairs)) >= least  # the first one always is
-        number = np.cumsum(good) - 1
+        good = np.bincount(which, minlength=len(chosen)) >= least  # the first one always is
         at, which = at[good[which]], which[good[which]]
-        symbols = np.array([symbol.setdefault((a, b), base + len(symbol)) for a, b in pairs[good].tolist()], np.uint32)
-        sym[at] = symbols[number[which]]
-        last[at] = last[at + 1]
-        keep = np.ones(len(sym), bool)
-        keep[at + 1] = False
-        sym, last = sym[keep], last[keep]
-    table = np.array(list(symbol), np.uint32).reshape(-1, 2)
-    return table, sym, np.flatnonzero(last) + 1
+        pair = key[start[chosen[good]]]
+        # Rules by their pair; those of earlier rounds keep their number.
+        left, right = pair >> width, pair & ((np.uint64(1) << width) - np.uint64(1))
+        name = mixed((left << np.uint64(32) | right) + np.uint64(1))
+        rule = known.find(name)
+        old, new = rule[rule >= 0], rule < 0
+        rules.append(np.stack([left[new], right[new]], 1).astype(np.uint32))
+        rule[new] = known.n + np.arange(int(new.sum()))
+        known.add(name[new])
+        if len(old):
+            again = np.zeros(base + known.n, bool)
+            again[base + old] = True
+            here = np.flatnonzero(again[sym] & ~gone[:n])
+            look[here] = look[ahead[here]] = True
+        second = after[at]
+        third = after[second]
+        sym[at] = (base + rule)[(np.cumsum(good) - 1)[which]]
+        last[at] = last[second]
+        after[at] = third
+        ahead[third] = at
+        gone[second] = True
+        look[at] = look[ahead[at]] = True
+        look[second] = look[n] = look[-1] = False
+        look[:n] &= ~last
+        places = np.flatnonzero(look[:n])
+    there = ~gone[:n]
+    return np.concatenate(rules), sym[there], np.flatnonzero(last[there]) + 1
+
+
+def _generations(rules: np.ndarray, base: int) -> list[tuple[int, int]]:
+    """Ranges of rules, each of which uses rules before the range only."""
+    need = rules.max(1).astype(np.int64) - base + 1 if len(rules) else np.zeros(0, np.int64)
+    out, start = [], 0
+    while start < len(rules):
+        beyond = np.flatnonzero(need[start : start + 65_536] > start)
+        stop = start + int(beyond[0]) if len(beyond) else min(len(rules), start + 65_536)
+        if stop == start:
+            raise ValueError("a rule uses itself or a later one")
+        out.append((start, stop))
+        start = stop
+    return out
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule expands to; a rule uses earlier rules only."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
-    return np.array(out, np.int64)
+    out = np.ones(len(rules), np.int64)
+    for a, b in _generations(rules, base):
+        part = rules[a:b].astype(np.int64) - base
+        out[a:b] = np.where(part >= 0, out[np.maximum(part, 0)], 1).sum(1)
+    return out
 
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> bytes:
@@ -154,33 +208,28 @@ class Shard:
         self.rules, self.sizes = numbers(2 * rules, width).reshape(-1, 2), numbers(rules, long).astype(np.int64)
         self.seq = numbers(symbols, width)
         # All rules' expansions, one after another: each is that of its left symbol, then its right one.
-        offset = np.r_[0, np.cumsum(self.sizes)]
-        flat = np.empty(int(offset[-1]), np.uint32)
-        for i, pair in enumerate(self.rules.tolist()):
-            p = int(offset[i])
-            for s in pair:
-                if s < self.base:
-                    flat[p] = s
-                    p += 1
-                else:
-                    a, n = int(offset[s - self.base]), int(self.sizes[s - self.base])
-                    flat[p : p + n] = flat[a : a + n]
-                    p += n
-        self.offset, self.flat = offset, flat
+        self.offset = np.r_[0, np.cumsum(self.sizes)]
+        self.flat = np.empty(int(self.offset[-1]), np.uint32)
+        for first, end in _generations(self.rules, self.base):
+            pair = self.rules[first:end].astype(np.int64)
+            place = self.offset[first:end]
+            for k in range(2):
+                own, rule = pair[:, k] < self.base, np.maximum(pair[:, k] - self.base, 0)
+                self.flat[place[own]] = pair[own, k]
+                size = np.where(own, 1, self.sizes[rule])
+                far = ~own
+                self.flat[spread(place[far], size[far])] = self.flat[spread(self.offset[rule[far]], size[far])]
+                place = place + size
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
         """The ids of a part of the sequence."""
         at = np.flatnonzero(seq >= self.base)
-        rule = seq[at].astype(np.intp) - self.base
+        rule = seq[at].astype(np.int64) - self.base
         size = np.ones(len(seq), np.int32)
         size[at] = self.sizes[rule]
         out = np.repeat(seq.astype("<u4"), size)
-        span = self.sizes[rule]
-        # Each rule's ids lie together in the table of expansions, and their places together in the output.
-        ends = np.cumsum(span)
-        inner = np.arange(int(ends[-1]) if len(ends) else 0)
-        place = at + (ends - span) - np.arange(len(at))
-        out[inner + np.repeat(place - (ends - span), span)] = self.flat[inner + np.repeat(self.offset[rule] - (ends - span), span)]
+        place = (np.cumsum(size, dtype=np.int64) - size)[at]
+        out[spread(place, self.sizes[rule])] = self.flat[spread(self.offset[rule], self.sizes[rule])]
         return out
 
     def document(self, i: int) -> np.ndarray:
@@ -214,13 +263,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([shard]), pa.array([len(names)], pa.int64()), pa.array([held], pa.int64()), pa.array([offset], pa.int64()), pa.array([pack(names, ids, bpe.size)])], names=["part", "shard", "n_docs", "n_tokens", "offset", "payload"])
 
-        close = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for piece, texts in pieces(batch, chars=2 << 20):
-                for doc_id, own in zip(piece.column(0).to_pylist(), bpe(texts), strict=True):
+            for piece, texts in pieces(batch):
+                flat, counts = bpe.encode(texts)
+                ends = np.cumsum(counts + 1)
+                closed = np.full(int(ends[-1]), end_id, np.uint32)
+                inner = np.ones(len(closed), bool)
+                inner[ends - 1] = False
+                closed[inner] = flat
+                for doc_id, own in zip(piece.column(0).to_pylist(), np.split(closed, ends[:-1]), strict=True):
                     names.append(doc_id)
-                    ids.append(np.frombuffer(own + close, "<u4"))
-                    held += len(ids[-1])
+                    ids.append(own)
+                    held += len(own)
                     if held >= shard_tokens:
                         yield row()
                         names, ids, offset, held, shard = [], [], offset + held, 0, shard + 1
@@ -228,7 +282,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, "part long, shard long, n_docs long, n_tokens long, offset long, payload binary").write.parquet(path)
+    rows.mapInArrow(lambda batches: lean(encode(batches)), "part long, shard long, n_docs long, n_tokens long, offset long, payload binary").write.parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
@@ -247,7 +301,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(base + shard.starts[:-1]), pa.array(np.diff(shard.starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     at = files.select("part", "offset", "payload").join(F.broadcast(first), "part").select((F.col("first") + F.col("offset")).alias("base"), "payload")
-    return at.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return at.mapInArrow(lambda batches: lean(decode(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from readqc.llm import byte_bpe, digest_cache, repair, sentencepiece_rounds
+from readqc.llm import byte_bpe, digest_cache, repair, sentencepiece_rounds, words
 
 BPE, WORD, PIECE = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 LETTERS = "abcdeé ▁ ñ\n\t\r<s>0x0A日本語😀́aaa  ===---\x00 ﻿#'s'tre'll12²½¹_!«» ſ\x1c\x85"
@@ -22,29 +23,82 @@ def strings(n=3000, seed=1):
     return ["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 60))) for _ in range(n)] + ["a" * 3001, " " * 777, "ab" * 500, "", "</s>", "<unk>", " x ", "▁", "http://" * 50, "\n\n  \n", "=-" * 300 + "=" * 99, "<|endoftext|>", "a <|endoftext|>b"]
 
 
+def split(flat, counts):
+    return [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+
+
 def test_sentencepiece_is_the_librarys():
     sp, encode = sentencepiece.SentencePieceProcessor(model_file=PIECE), sentencepiece_rounds.Encoder(PIECE)
-    model = sentencepiece_rounds.load(PIECE)
-    texts = strings()
-    for t, (joined, back) in zip(texts, encode(texts), strict=True):
-        ids = [int(x) for x in joined.split(",") if x]
-        assert ids == sp.encode(t), t
-        assert back == sp.decode(ids) == model.decode(ids)
+    texts = [*strings(), None]
+    flat, counts = encode(texts)
+    every = zip(texts, split(flat, counts), encode.joined(flat, counts), encode.model.decode_all(flat, counts), strict=True)
+    for t, ids, joined, back in every:
+        assert ids == sp.encode(t or ""), t
+        assert joined.decode() == ",".join(map(str, ids))
+        assert back.decode() == sp.decode(ids) == encode.model.decode(ids)
+
+
+def test_sentencepiece_without_spaces():
+    """Long texts without spaces take no longer for each character than others, whether cut, merged by rounds or by heap."""
+    rng = random.Random(7)
+    sp, encode = sentencepiece.SentencePieceProcessor(model_file=PIECE), sentencepiece_rounds.Encoder(PIECE)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    cjk = [chr(i) for i in range(0x4E00, 0x9FA5)]
+    texts = [some(x, n) for x in ("abcdefghijklmnopqrstuvwxyz", cjk, "ACGT", ["the", "quick", "house", "ing", "ation"], "x", "ab") for n in (255, 257, 100_000)] + [some("abcdefghijklmnopqrstuvwxyz", 1_000_000), some(cjk, 1_000_000)]
+    began = time.process_time()
+    found = split(*encode(texts))
+    assert time.process_time() - began < 60
+    assert all(ids == sp.encode(t) for t, ids in zip(texts, found, strict=True))
+
+
+def test_decoding_any_ids():
+    """Ids in any order, control ids and lone bytes among them."""
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=PIECE), sentencepiece_rounds.load(PIECE)
+    rng = random.Random(8)
+    rows = [[rng.randrange(3, 3 + (300 if k % 2 else 31_000)) for _ in range(rng.randint(0, 30))] for k in range(500)]
+    whole = [r for r in rows if all(i >= 259 for i in r)]
+    got = model.decode_all(np.array([i for r in whole for i in r], np.int32), np.array([len(r) for r in whole]))
+    assert [x.decode() for x in got] == [sp.decode(r) for r in whole]
+    for r in rows:
+        assert model.decode(r) == sp.decode(r), r
 
 
 def test_a_full_memory_changes_nothing():
     texts = strings(300)
-    small, large = sentencepiece_rounds.Encoder(PIECE, keep=5), sentencepiece_rounds.Encoder(PIECE)
-    assert [list(small([t]))[0] for t in texts] == list(large(texts))
-    small, large = byte_bpe.ByteBpe(BPE, keep=5), byte_bpe.ByteBpe(BPE)
-    assert [next(small([t])) for t in texts] == list(large(texts))
+    for make in (lambda keep: sentencepiece_rounds.Encoder(PIECE, keep), lambda keep: byte_bpe.ByteBpe(BPE, keep).encode):
+        small, large = make(5), make(100_000)
+        assert [split(*small([t]))[0] for t in texts] == split(*large(texts))
 
 
 @pytest.mark.parametrize("path", [BPE, WORD])
 def test_byte_bpe_is_the_librarys(path):
-    library, texts = Tokenizer.from_file(path), strings()
-    for t, ids in zip(texts, byte_bpe.ByteBpe(path)(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    library, texts, bpe = Tokenizer.from_file(path), [*strings(), None], byte_bpe.ByteBpe(path)
+    flat, counts = bpe.encode(texts)
+    for t, ids in zip(texts, split(flat, counts), strict=True):
+        assert ids == library.encode(t or "", add_special_tokens=False).ids, t
+    assert np.array_equal(bpe.count(texts), counts)
+
+
+def test_pre_tokens():
+    """Blanks, feeds and apostrophes in all orders."""
+    rng = random.Random(3)
+    bits = ["'", "s", "t", "re", "ve", "m", "ll", "d", " ", "  ", "\n", "\t", "\r", "a", "Z", "é", "1", "²", "!", "'s", "'ll", "x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    library, bpe = Tokenizer.from_file(BPE), byte_bpe.ByteBpe(BPE)
+    assert split(*bpe.encode(texts)) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_known_numbers():
+    rng = np.random.default_rng(1)
+    known, numbers = words.Known(4), {}
+    for n in (3, 40, 1000, 5000):
+        h = np.unique(np.r_[rng.integers(1, 1 << 63, n, dtype=np.uint64), rng.integers(1, 50, 5, dtype=np.uint64)])
+        h = h[known.find(h) < 0]
+        known.add(h)
+        numbers |= {x: len(numbers) + i for i, x in enumerate(h.tolist())}
+    every = np.array(list(numbers), np.uint64)
+    assert known.find(every).tolist() == list(numbers.values())
+    assert (known.find(rng.integers(1, 1 << 63, 1000, dtype=np.uint64)) < 0).all()
 
 
 def test_op9_rows(odd, odd_rows, none):
