@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readqc.llm.common import pieces
+from readqc.llm.common import lean, pieces
 
 TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n+")
 
@@ -154,4 +154,4 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(lambda batches: lean(run(batches)), f"doc_id {kind}, held_out boolean, score double, predicted int")

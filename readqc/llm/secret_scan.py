@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from readqc.llm.common import pieces
+from readqc.llm.common import lean, pieces
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -124,7 +124,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: lean(run(batches)), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
@@ -154,4 +154,4 @@ def redact_secrets(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
                     cols[k] = pa.array([len(b) if a != b else n for a, b, n in zip(texts, new, cols[k].to_pylist(), strict=True)], cols[k].type)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: lean(run(batches)), docs.schema)
