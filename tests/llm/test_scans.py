@@ -84,8 +84,10 @@ def hits_by_hand(table, text):
     return words, hit, items
 
 
-@pytest.mark.parametrize("max_words", [10**6, 25])
-def test_op8_rows(spark, odd, odd_rows, none, max_words):
+@pytest.mark.parametrize("limits", [(10**6, 10**6), (25, 10**6), (25, 120)])
+def test_op8_rows(spark, odd, odd_rows, none, limits):
+    """One automaton, several at once, and several passes."""
+    limits = dict(zip(("max_words", "pass_words"), limits, strict=True))
     rng = random.Random(8)
     texts = [r[1] for r in odd_rows if r[1]]
     items = [(i, " ".join(t.split()[j : j + rng.choice((3, 10, 14, 30))])) for i, t in enumerate(texts[:20]) for j in [rng.randint(0, max(0, len(t.split()) - 5))]]
@@ -96,16 +98,46 @@ def test_op8_rows(spark, odd, odd_rows, none, max_words):
     for r in odd_rows:
         words, hit, found = hits_by_hand(table, r[1])
         want[r[0], len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
-    assert Counter(map(tuple, decontaminate.contamination(odd, bench, max_words=max_words).collect())) == want
+    assert Counter(map(tuple, decontaminate.contamination(odd, bench, **limits).collect())) == want
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.contamination(odd, bench.where("false")).where("contaminated").count() == 0
-    kept = decontaminate.remove_contamination(odd, bench, max_words=max_words)
+    kept = decontaminate.remove_contamination(odd, bench, **limits)
     assert kept.schema == odd.schema
     for r in kept.collect():
         if r.text is not None and r.n_chars is not None:
             assert r.n_chars == len(r.text)
 
 
+def test_matches_by_hand():
+    """Few different words, so that items, windows and their parts overlap in every way."""
+    rng = random.Random(12)
+    for _ in range(60):
+        items = [(str(i), [rng.choice((b"a", b"b", b"c", b"dd")) for _ in range(rng.randint(0, 9))]) for i in range(rng.randint(1, 8))]
+        window = rng.randint(1, 5)
+        table = windows_by_hand([(i, b" ".join(w).decode()) for i, w in items], window)
+        texts = [" ".join(rng.choice(("a", "B", "c", "dd", "zz")) for _ in range(rng.randint(0, 40))) for _ in range(12)] + ["", None]
+        words = decontaminate.Words(texts)
+        for text, (spans, found) in zip(texts, decontaminate.scan([decontaminate.Automaton.of(items, window)], words), strict=True):
+            _, hit, want = hits_by_hand(table, text)
+            assert {x for a, b in spans for x in range(a, b)} == hit and found == want
+
+
+def test_a_large_benchmark(spark):
+    """Two million words: two lots of automata, about 65 MB each, a pass each."""
+    rng = np.random.default_rng(13)
+    words = np.array([f"w{i}" for i in range(60_000)])
+    items = [(i, " ".join(words[(rng.pareto(0.7, 500) * 10).astype(np.int64) % 60_000])) for i in range(4000)]
+    docs = [(i, " ".join(["start", *items[40 * i][1].split()[7 : 7 + i], "end"])) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(8)
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert len(got) == 60
+    for r in got:
+        assert r.n_words == r.doc_id + 2
+        assert (r.n_hit, r.contaminated) == ((r.doc_id, True) if r.doc_id >= 10 else (0, False))
+        if r.doc_id >= 12:
+            assert r.items_sha256 == hashlib.sha256(str(40 * r.doc_id).encode()).hexdigest()
+
+
 def test_cleaned_text():
     assert decontaminate.clean("One two, THREE four! five", [(1, 3)]) == "One  four! five"
 
