@@ -85,5 +85,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, cache_
     rows = ws.stage(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest_of("text").alias("digest")), "rows")
     fill(docs, tokenizer_path, version, cache)
     # Two runs at a time can both append a content: one count of each digest is used.
-    counts = cache.read(version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written first, so that nothing but the join needs the rows of a digest together, and a digest that very many rows
+    # share can be split.
+    counts = ws.stage(cache.read(version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return rows.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
