@@ -3,11 +3,11 @@
 Equal vectors become one node. Nodes are dealt into shards of bounded size by a hash, and each shard gets a hierarchical
 navigable small-world graph: layers of geometrically falling size, each node linked to near and mutually distant others.
 Every node is then searched for in every shard, by blocks of queries: a descent through the upper layers, and a beam in
-the lowest. A query whose beam holds nothing but links is searched again with a beam twice as wide, and past a width with
-all products. In every block the links of samples of queries are counted exactly, of those with full beams and of the
-others; while a sample's queries find on average too small a share of their own links, all beams of its kind are widened.
-Cosines of what was found are verified in double precision. A block returns the number of links of each query, and a
-spanning forest of the links (not all pairs of a dense group), from which the components are joined.
+the lowest. A query whose beam holds nothing but links is in a dense group and compared with all nodes of the shard, in
+tiles. Of the others in a block, the links of a sample are counted exactly; while its queries find on average too small a
+share of their own links, all beams are widened. Cosines of what was found are verified in double precision. A block
+returns the number of links of each query, and a spanning forest of the links, from which the components are joined; pairs
+are added up as they are found and never held, whatever the size of a group.
 
 Searches are vectorised: all queries of a block advance in step, as rows of numpy arrays.
 """
@@ -184,70 +184,143 @@ class Graph:
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         return self._beam(0, queries, self._descend(queries, 0, len(self.vectors)), min(beam, len(self.vectors)))
 
-    def within(self, queries: np.ndarray, least: float, beam: int, widest: int = 512, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of the nodes found at a cosine of ``least`` or more; beams full of such nodes are widened. In
-        place of a beam of more than ``widest``, or of the whole graph, all products are taken."""
-        out_q, out_n = [], []
-        open_q = np.arange(len(queries))
-        while len(open_q) and beam <= widest and beam < len(self.vectors):
-            ids, sims = self.search(queries[open_q], beam)
-            hit = sims >= least
-            full = hit.all(1)
-            r, c = np.nonzero(hit & ~full[:, None])
-            out_q.append(open_q[r])
-            out_n.append(ids[r, c])
-            open_q = open_q[full]
+    def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node) of the nodes found at a cosine of ``least`` or more, and the queries whose beams are full of such
+        nodes; these have no pairs."""
+        if beam >= len(self.vectors):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.arange(len(queries))
+        ids, sims = self.search(queries, beam)
+        hit = sims >= least
+        full = hit.all(1)
+        q, c = np.nonzero(hit & ~full[:, None])
+        return q, ids[q, c], np.flatnonzero(full)
+
+    def wide_enough(self, queries: np.ndarray, least: float, own: np.ndarray, beam: int, sample: int = 256, most: int = 2048, enough: int = 64, recall: float = 0.99) -> int:
+        """A beam with which sampled queries (those that it isn't full of links for) find on average at least ``recall`` of
+        their exact links; ``own`` is each query's place in the graph (-1: none), no link of it. A sample has ``sample``
+        queries, and up to ``most`` until ``enough`` of them have links."""
+        # Strides over the queries, one place on each time, so that any first of them lie all over them.
+        step = max(1, len(queries) // 64)
+        order = np.concatenate([np.arange(k, len(queries), step) for k in range(step)])[:most]
+        checked, truth, linked = [], [], 0
+        for i in range(0, len(order), 64):
+            if i >= sample and linked >= enough:
+                break
+            some = order[i : i + 64]
+            near = queries[some] @ self.vectors.T >= least
+            near[np.flatnonzero(own[some] >= 0), own[some][own[some] >= 0]] = False
+            checked.append(some)
+            truth.append(near.sum(1))
+            linked += int((truth[-1] > 0).sum())
+        if not linked:
+            return beam
+        checked, truth = np.concatenate(checked), np.concatenate(truth)
+        checked, truth = checked[truth > 0], truth[truth > 0]
+        while beam < len(self.vectors):
+            q, n, full = self.within(queries[checked], least, beam)
+            counts = np.bincount(q[n != own[checked[q]]], minlength=len(checked))
+            counts[full] = truth[full]  # they are compared with all nodes
+            if np.minimum(counts / truth, 1).mean() >= recall:
+                break
             beam *= 2
-        for i in range(0, len(open_q), block):
-            part = open_q[i : i + block]
-            r, c = np.nonzero(queries[part] @ self.vectors.T >= least)
-            out_q.append(part[r])
-            out_n.append(c)
-        return (np.concatenate(out_q), np.concatenate(out_n)) if out_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def audited(self, queries: np.ndarray, least: float, own: np.ndarray | None = None, beam: int = 32, sample: int = 256, most: int = 2048, enough: int = 64, recall: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
-        """As ``within``, with beams wide enough that queries find on average at least ``recall`` of their exact links, those
-        of full beams and the others each by themselves. ``own`` is each query's place in the graph (-1: none), no link of
-        it. A sample has ``sample`` queries, and up to ``most`` until ``enough`` of them have links."""
-        own = np.full(len(queries), -1) if own is None else own
-        q, n = self.within(queries, least, beam)
-        full = np.bincount(q, minlength=len(queries)) >= beam
-        for part in (np.flatnonzero(~full), np.flatnonzero(full)):
-            # Strides over the part, one place on each time, so that any first of them lie all over it.
-            step = max(1, len(part) // 64)
-            order = np.concatenate([part[k::step] for k in range(step)])[:most]
-            checked, truth, linked = [], [], 0
-            for i in range(0, len(order), 64):
-                if i >= sample and linked >= enough:
-                    break
-                some = order[i : i + 64]
-                near = queries[some] @ self.vectors.T >= least
-                near[np.flatnonzero(own[some] >= 0), own[some][own[some] >= 0]] = False
-                checked.append(some)
-                truth.append(near.sum(1))
-                linked += int((truth[-1] > 0).sum())
-            if not linked:
-                continue
-            checked, truth = np.concatenate(checked), np.concatenate(truth)
-            checked, truth = checked[truth > 0], truth[truth > 0]
-            place = np.full(len(queries), -1)
-            place[checked] = np.arange(len(checked))
-
-            def share(q: np.ndarray, n: np.ndarray) -> float:
-                counts = np.bincount(q[n != own[checked[q]]], minlength=len(checked))
-                return float(np.minimum(counts / truth, 1).mean())
-
-            at = np.flatnonzero(place[q] >= 0)
-            width, good = beam, share(place[q[at]], n[at]) >= recall
-            while not good:
-                width *= 2
-                good = width >= len(self.vectors) or share(*self.within(queries[checked], least, width)) >= recall
-            if width > beam:
-                inside = np.zeros(len(queries), bool)
-                inside[part] = True
-                more_q, more_n = self.within(queries[part], least, width)
-                q, n = np.concatenate([q[~inside[q]], part[more_q]]), np.concatenate([n[~inside[q]], more_n])
-        return q, n
+        return beam
+
+    def links(self, queries: np.ndarray, least: float, own: np.ndarray, found: Links, beam: int = 32, block: int = 1024) -> None:
+        """Put the links of all queries to ``found``. Beams are as wide as an audit of queries asks for whose beams aren't
+        full of links; a query whose beam is full of them, in a dense group, is compared with all nodes."""
+        few, kept, dense = [], [], []
+        for i in range(0, len(queries), block):
+            q, n, full = self.within(queries[i : i + block], least, beam)
+            kept.append((i + q, n))
+            dense.append(i + full)
+            few.append(np.setdiff1d(np.arange(i, min(i + block, len(queries))), i + full))
+        few = np.concatenate(few)
+        width = self.wide_enough(queries[few], least, own[few], beam) if len(few) else beam
+        if width == beam:
+            for q, n in kept:
+                found.add(q, n)
+        else:
+            for i in range(0, len(few), block):
+                part = few[i : i + block]
+                q, n, full = self.within(queries[part], least, width)
+                found.add(part[q], n)
+                dense.append(part[full])
+        found.compare(np.concatenate(dense))
+
+
+class Links:
+    """How many links each query of a block has, and which nodes and queries are connected. No pairs are kept: what is
+    held grows with the nodes and queries, not with the links of a dense group."""
+
+    def __init__(self, vectors: np.ndarray, copies: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float):
+        self.vectors, self.copies, self.queries, self.own, self.least = vectors, copies, queries, own, least
+        self.counts = np.zeros(len(queries), np.int64)
+        # Nodes by their place, then the queries that aren't nodes.
+        self.place = np.where(own >= 0, own, len(vectors) + np.arange(len(queries)))
+        self.root = np.arange(len(vectors) + len(queries))
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.root[a], self.root[b]
+        apart = a != b
+        if not apart.any():
+            return
+        parent = self.root
+
+        def find(x: int) -> int:
+            while (p := int(parent[x])) != x:
+                parent[x] = x = int(parent[p])
+            return x
+
+        for x, y in np.unique(np.stack([np.minimum(a, b)[apart], np.maximum(a, b)[apart]], 1), axis=0).tolist():
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        self.root = parent
+
+    def add(self, q: np.ndarray, n: np.ndarray, at_once: int = 65_536) -> None:
+        """Pairs found, to be verified in double precision."""
+        for i in range(0, len(q), at_once):
+            a, b = q[i : i + at_once], n[i : i + at_once]
+            ok = (np.einsum("ed,ed->e", self.queries[a], self.vectors[b]) >= self.least) & (self.own[a] != b)
+            np.add.at(self.counts, a[ok], self.copies[b[ok]])
+            self.unite(self.place[a[ok]], b[ok])
+
+    def compare(self, queries: np.ndarray, rows: int = 256, columns: int = 8192) -> None:
+        """All pairs of ``queries`` and nodes, tile by tile; cosines that single precision leaves open are verified."""
+        single = self.vectors.astype(np.float32) if len(queries) else None
+        for i in range(0, len(queries), rows):
+            q = queries[i : i + rows]
+            mine = self.queries[q].astype(np.float32)
+            for k in range(0, len(self.vectors), columns):
+                sims = mine @ single[k : k + columns].T
+                near = sims >= self.least + _SLACK
+                r, c = np.nonzero((sims >= self.least - _SLACK) & ~near)
+                for s in range(0, len(r), 65_536):
+                    a, b = r[s : s + 65_536], c[s : s + 65_536]
+                    near[a, b] = np.einsum("ed,ed->e", self.queries[q[a]], self.vectors[k + b]) >= self.least
+                inside = np.flatnonzero((self.own[q] >= k) & (self.own[q] < k + near.shape[1]))
+                near[inside, self.own[q[inside]] - k] = False
+                self.counts[q] += near @ self.copies[k : k + columns]
+                self._connect(near, self.place[q], np.arange(k, k + near.shape[1]))
+
+    def _connect(self, near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
+        """Unite what a tile's links connect: the least root goes from rows to columns and back until none changes."""
+        of_rows, of_columns = self.root[rows], self.root[columns]
+        none = len(self.root)
+        while True:
+            to_columns = np.minimum(of_columns, np.where(near, of_rows[:, None], none).min(0))
+            to_rows = np.minimum(of_rows, np.where(near, to_columns, none).min(1))
+            if np.array_equal(to_rows, of_rows) and np.array_equal(to_columns, of_columns):
+                break
+            of_rows, of_columns = to_rows, to_columns
+        self.unite(np.concatenate([rows, columns]), np.concatenate([of_rows, of_columns]))
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each place that is connected to a lesser one, and the least one it is connected to."""
+        some = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return some, self.root[some]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -264,30 +337,13 @@ def _matrix(column) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
-def _spanning(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the links u - v."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(p, p)
-        return x
-
-    out = []
-    for a, b in zip(u.tolist(), v.tolist(), strict=True):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-    return out
-
-
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = NEAR, least_shards: int = 4, shard_size: int = 50_000, block: int = 16_384) -> DataFrame:
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = NEAR, least_shards: int = 4, shard_size: int = 50_000, block: int = 16_384, shard_bytes: int = 64 << 20) -> DataFrame:
     """Links of cosine ``least`` or more among all vectors, and their components.
 
     One row for each row of ``rows``: the id, n_links (other rows linked directly), component_id (smallest id reachable),
     kept (id = component_id). A vector that is null, empty or zero, or holds a null or non-finite component, links with
-    nothing and is its own component; vectors of different length don't link. Rows that repeat a vector link with one
+    nothing and is its own component; vectors of different length don't link. A shard has at most about ``shard_size`` vectors
+    and ``shard_bytes`` of them in double precision. Rows that repeat a vector link with one
     another, repeated ids among them. A null id isn't kept, and is no component's id beside another. Other columns are
     not read. Equal vectors are told by a 64-bit hash.
     """
@@ -299,8 +355,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     ids = ws.stage(marked.select("id", "node"), "ids")
     nodes = marked.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.any_value("v").alias("v"))
     nodes = ws.stage(nodes.withColumn("dim", F.size("v")), "nodes")
-    n = nodes.count()
-    shards, blocks = max(least_shards, -(-n // shard_size)), max(1, -(-n // block))
+    n, dim = nodes.agg(F.count("*"), F.max("dim")).first()
+    most = max(1, shard_bytes // (8 * (dim or 1)))  # long vectors: smaller shards and blocks
+    shards, blocks = max(least_shards, -(-n // min(shard_size, most))), max(1, -(-n // min(block, most)))
     deal = F.pmod(F.xxhash64("node", F.lit("shard")), F.lit(shards)).cast("int")
 
     def build(table: pa.Table) -> pa.Table:
@@ -321,21 +378,17 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
             graph = Graph(vectors.astype(np.float32), [f[f"layer{k}"] for k in range(sum(x.startswith("layer") for x in f.files))])
         queries, names = unit(_matrix(left["v"])), left["node"].to_numpy()
         place = np.minimum(np.searchsorted(node, names), len(node) - 1)
-        q, r = graph.audited(queries.astype(np.float32), least - _SLACK, np.where(node[place] == names, place, -1))
-        links = np.zeros(len(names), np.int64)
-        kept_q, kept_r = [], []
-        for i in range(0, len(q), 65_536):
-            a, b = q[i : i + 65_536], r[i : i + 65_536]
-            ok = (np.einsum("ed,ed->e", queries[a], vectors[b]) >= least) & (names[a] != node[b])
-            np.add.at(links, a[ok], copies[b[ok]])
-            kept_q.append(names[a[ok]])
-            kept_r.append(node[b[ok]])
-        forest = _spanning(np.concatenate(kept_q), np.concatenate(kept_r)) if kept_q else []
-        some = np.flatnonzero(links)
+        own = np.where(node[place] == names, place, -1)
+        found = Links(vectors, copies, queries, own, least)
+        graph.links(queries.astype(np.float32), least - _SLACK, own, found)
+        every = np.concatenate([node, names])
+        u, v = found.forest()
+        some = np.flatnonzero(found.counts)
+        blank = np.zeros(len(some), np.int64)
         return pa.table({
-            "u": pa.array([a for a, _ in forest] + names[some].tolist(), pa.int64()),
-            "v": pa.array([b for _, b in forest] + [None] * len(some), pa.int64()),
-            "n": pa.array([None] * len(forest) + links[some].tolist(), pa.int64()),
+            "u": pa.array(np.concatenate([every[u], names[some]])),
+            "v": pa.array(np.concatenate([every[v], blank]), mask=np.r_[np.zeros(len(u), bool), np.ones(len(some), bool)]),
+            "n": pa.array(np.concatenate([np.zeros(len(u), np.int64), found.counts[some]]), mask=np.r_[np.ones(len(u), bool), np.zeros(len(some), bool)]),
         })
 
     queries = nodes.select("node", "dim", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("node", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
