@@ -33,6 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from readqc.llm.common import Workspace, lean, pieces
 from readqc.llm.components import connected_components
+from readqc.llm.words import hashes
 
 WIDTH = 5
 PERCENT = 75
@@ -45,34 +46,34 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class Shingles:
-    """Sorted distinct 64-bit hashes of a text's shingles; remembers the hashes of words (a full memory is emptied)."""
-
-    def __init__(self, keep: int = 250_000):
-        self.keep, self.known = keep, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "replace").lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > self.keep:
-            self.known = {}
-        known, fresh = self.known, xxhash.xxh64_intdigest
-        ids = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = fresh(w)
-            ids.append(h)
-        a = np.array(ids, np.uint64)
-        width = min(WIDTH, len(a))
-        s = np.full(len(a) - width + 1, width, np.uint64)
+_GAP = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
+_LOW = np.array([b + 32 * (65 <= b <= 90) for b in range(256)], np.uint8)
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles."""
+    raw = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+    low = _LOW[np.frombuffer(b"\n".join(raw), np.uint8)]
+    mask = ~_GAP[low]
+    edge = np.flatnonzero(np.diff(np.r_[False, mask, False]))
+    begins, lens = edge[::2], edge[1::2] - edge[::2]
+    words = hashes(low[mask], np.cumsum(lens) - lens, lens)
+    ends = np.searchsorted(begins, np.cumsum([len(r) + 1 for r in raw]) - 1)
+    starts = np.r_[0, ends[:-1]]
+
+    def joined(first: np.ndarray, width: int) -> np.ndarray:
+        s = np.full(len(first), width, np.uint64)
         for k in range(width):
-            s = (s ^ a[k : len(a) - width + 1 + k]) * _M
+            s = (s ^ words[first + k]) * _M
             s ^= s >> np.uint64(29)
         s *= _M2
-        s ^= s >> np.uint64(32)
-        return np.unique(s)
+        return s ^ (s >> np.uint64(32))
+
+    every = joined(np.arange(max(0, len(words) - WIDTH + 1)), WIDTH)  # across texts too
+    out = []
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        out.append(np.unique(every[a : b - WIDTH + 1]) if b - a >= WIDTH else joined(np.array([a]), b - a) if b > a else every[:0])
+    return out
 
 
 def set_digest(s: np.ndarray) -> int:
@@ -106,10 +107,9 @@ def prefixes(shared: np.ndarray, n: int) -> list[np.ndarray] | None:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's node and set size."""
-    shingles = Shingles()
     for batch in batches:
         for part, texts in pieces(batch):
-            sets = [shingles(t) for t in texts]
+            sets = shingle_sets(texts)
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([set_digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "n"])
 
 
@@ -202,12 +202,11 @@ def _scatter(ranges: int, speakers):
             yield _rows(part, [_pack(token[cuts[k] : cuts[k + 1]], owner[cuts[k] : cuts[k + 1]], names, sizes) for k in part])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen, speaks = Shingles(), set(), speakers.value
+        seen, speaks = set(), speakers.value
         tokens, nodes, held = [], [], 0
         for batch in batches:
             for part, texts in pieces(batch):
-                for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    s = shingles(text)
+                for doc_id, s in zip(part.column(0).to_pylist(), shingle_sets(texts), strict=True):
                     if not len(s) or (node := set_digest(s)) in seen or speaks.get(node, doc_id) != doc_id:
                         continue
                     seen.add(node)
@@ -316,36 +315,50 @@ def _verify_pairs(pairs: DataFrame, docs: DataFrame, homes: DataFrame, filters:
     nameless = docs.select("doc_id", "text").where("doc_id IS NULL AND text IS NOT NULL")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
         for batch in batches:
             for part, texts in pieces(batch):
-                found = [shingles(t) for t in texts]
+                found = shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in found], pa.int64()), part.column(1)], names=["node", "text"])
 
-    texts = ws.stage(_texts_of(docs, ids).union(nameless).mapInArrow(sets, "node long, text string").dropDuplicates(["node"]), "texts")
+    texts = ws.stage(_texts_of(docs, ids).union(nameless).mapInArrow(lambda batches: lean(sets(batches)), "node long, text string").dropDuplicates(["node"]), "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            links = []
-            u, v, tu, tv = (c.to_pylist() for c in batch.columns)
-            for i in range(len(u)):
-                if last[0] != u[i]:
-                    last = (u[i], shingles(tu[i]))
-                x, y = last[1], shingles(tv[i])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                    links.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(links, pa.int64())), batch.column(1).take(pa.array(links, pa.int64()))], names=["u", "v"])
+            for part, of_v in pieces(batch, "tv"):
+                u, v, of_u = (part.column(k).to_pylist() for k in (0, 1, 2))
+                # Each text of the slice once.
+                texts = dict(zip(u, of_u, strict=True)) | dict(zip(v, of_v, strict=True))
+                found = dict(zip(texts, shingle_sets(list(texts.values())), strict=True))
+                links = []
+                for i in range(len(u)):
+                    x, y = found[u[i]], found[v[i]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                        links.append(i)
+                at = pa.array(links, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at)], names=["u", "v"])
 
     members = pairs.join(texts.selectExpr("node AS v", "text AS tv"), "v")
     both = members.join(texts.selectExpr("node AS u", "text AS tu"), "u").select("u", "v", "tu", "tv")
-    links = ws.stage(both.mapInArrow(check, "u long, v long"), "links")
+    links = ws.stage(both.mapInArrow(lambda batches: lean(check(batches)), "u long, v long"), "links")
     ws.drop(texts, pairs)
     return links
 
 
+def _all_pairs(lists: DataFrame, close: str, block: int = 2048) -> DataFrame:
+    """Pairs (u, v) across components in each list that are ``close``. A long list is dealt into blocks of about ``block``
+    members, and each two blocks meet by themselves, so that no task has a long list's pairs."""
+    sizes = lists.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > block)
+    sizes = sizes.select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    dealt = lists.join(F.broadcast(sizes) if sizes.count() <= 200_000 else sizes, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int"))
+    # A member of block i is in the meetings (i, i..) as the first, and (..i, i) as the second.
+    first = dealt.select("token", "node", "n", "rest", "comp", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"))
+    second = dealt.select("token", "node", "n", "rest", "comp", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"))
+    meet = F.expr(f"a.token = b.token AND a.x = b.x AND a.y = b.y AND (a.x < a.y OR a.node < b.node) AND a.comp <> b.comp AND {close}")
+    return first.alias("a").join(second.alias("b"), meet).selectExpr("a.node AS u", "b.node AS v")
+
+
 def similar(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64) -> DataFrame:
     """Groups of documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more.
 
@@ -363,13 +376,17 @@ def _groups(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64) ->
     ws = Workspace(docs.sparkSession, "jaccard")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    meta = ws.stage(docs.mapInArrow(_describe, "doc_id long, node long, n long"), "nodes")
+    meta = ws.stage(docs.mapInArrow(lambda batches: lean(_describe(batches)), "doc_id long, node long, n long"), "nodes")
     homes = ws.stage(meta.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("home"), F.count("*").alias("copies"), F.max("n").alias("n")), "homes")
     tokens = homes.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-tokens // RANGE_TOKENS))
 
-    told = docs.mapInArrow(_scatter(ranges, _speakers(spark, homes)), _ROWS).repartition(ranges, "k").mapInArrow(_gather(ranges), _ROWS).repartition(ranges, "k")
-    filters = ws.stage(told.mapInArrow(_select, "node long, n int, shared int, a array<long>, b array<long>, c array<long>"), "prefixes")
+    run = _scatter(ranges, _speakers(spark, homes))
+    scatter = lambda batches: lean(run(batches))
+    collect = _gather(ranges)
+    gather = lambda batches: lean(collect(batches))
+    told = docs.mapInArrow(scatter, _ROWS).repartition(ranges, "k").mapInArrow(gather, _ROWS).repartition(ranges, "k")
+    filters = ws.stage(told.mapInArrow(lambda batches: lean(_select(batches)), "node long, n int, shared int, a array<long>, b array<long>, c array<long>"), "prefixes")
     # A node's own shingles stand before its shared ones: where a token stands bounds what its set can have in common
     # with another from there on.
     entries = filters.select(F.posexplode("a").alias("at", "token"), "node", "n", "shared").select("token", "node", "n", (F.col("shared") - F.col("at")).alias("rest"), (F.col("n") - F.col("shared")).alias("own"))
@@ -385,7 +402,7 @@ def _groups(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64) ->
         # The first token that two similar sets have in common stands so early in both that enough can follow.
         close = f"{100 + PERCENT} * least(a.rest, b.rest) >= {PERCENT} * (a.n + b.n)"
         if last:
-            found = lists.alias("a").join(lists.alias("b"), F.expr(f"a.token = b.token AND a.node < b.node AND a.comp <> b.comp AND {close}")).selectExpr("a.node AS u", "b.node AS v")
+            found = _all_pairs(lists, close)
         else:
             hubs = ws.stage(lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "rest", "comp"), F.struct(F.col("own") / F.col("n"), F.xxhash64("node"))).alias("h")).select("token", "h.*"), "hubs")
             found = lists.alias("a").join(hubs.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND {close}")).selectExpr("b.node AS u", "a.node AS v")

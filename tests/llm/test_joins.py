@@ -102,6 +102,20 @@ def test_rounds_lose_nothing(spark, copies, limits, monkeypatch):
     assert Counter(map(tuple, got.collect())) == groups_by_hand(copies)[0]
 
 
+def test_blocks_of_a_list(spark):
+    """Each pair of a list meets once, however the list is dealt."""
+    rng = random.Random(4)
+    rows = [(token, node, 10, 10, node % 7) for token in range(3) for node in rng.sample(range(500), 3 + 120 * token)]
+    lists = spark.createDataFrame(rows, "token long, node long, n int, rest int, comp long")
+    want = Counter()
+    for token in range(3):
+        own = sorted((n, c) for t, n, _, _, c in rows if t == token)
+        want += Counter((a, b) for i, (a, x) in enumerate(own) for b, y in own[i + 1 :] if x != y)
+    for block in (7, 50, 10_000):
+        got = jaccard_join._all_pairs(lists, "a.n = b.n", block).collect()
+        assert Counter((min(r), max(r)) for r in got) == want
+
+
 def test_prefixes_meet():
     """Similar sets share a token of their prefixes under each order, whatever is shared with others."""
     rng = np.random.default_rng(2)
