@@ -165,7 +165,7 @@ def test_interleaving_keeps_the_mixture(spark):
         assert all(abs(share[s, x] - total[x] / 16) <= 3 for s in range(16) for x in total)
     by_hand = []
     for x in total:
-        own = sorted((hashlib.md5(f"mixture:{i}".encode()).hexdigest(), i) for i in source if source[i] == x)
+        own = sorted((hashlib.md5(f"mixture:{i}:{zlib.crc32(text.encode())}:{len(text) + 1}".encode()).hexdigest(), i) for i, text, s in rows if s == x)
         by_hand += [((2 * k + 1) / (2 * len(own)), f"={x}", key, i) for k, (key, i) in enumerate(own)]
     place = {i: divmod(k, n // 16) for k, (*_, i) in enumerate(sorted(by_hand))}
     assert runs[0] == runs[1] == place
