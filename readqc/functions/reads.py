@@ -43,17 +43,6 @@ def gc_bin(seq: Column | str) -> Column:
     return F.when(F.length(seq) > 0, F.least(F.floor(gc_count(seq) * 100 / F.length(seq)), F.lit(100)).cast("int"))
 
 
-def phred_sum(qual: Column | str) -> Column:
-    """Sum of a read's scores, natively; ``metrics.quality_sum`` is the faster form for whole tables."""
-    return F.aggregate(F.split(_col(qual), ""), F.lit(0).cast("long"), lambda total, c: total + F.greatest(F.ascii(c) - 33, F.lit(0)))
-
-
-def at_least(qual: Column | str, score: int) -> Column:
-    """How many qualities have at least ``score``."""
-    below = "".join(f"\\x{b:02x}" for b in (0, 32 + score))
-    return F.length(F.regexp_replace(_col(qual), f"[{below[:4]}-{below[4:]}]", ""))
-
-
 def mean_bin(total: Column, length: Column) -> Column:
     """Whole mean score, at most the highest bin; null without qualities."""
     return F.when(length > 0, F.least(F.floor(total / length), F.lit(PHRED_BINS - 1)).cast("int"))

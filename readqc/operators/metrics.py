@@ -2,7 +2,8 @@
 
 Metrics by position and k-mer counts share one pass: a kernel turns each Arrow batch's character buffers into histograms
 with numpy and passes on, for each task, at most positions x bins partial counts, which are then summed. No base ever
-becomes a row. All else is native columns with map-side partial aggregation.
+becomes a row. Sums of scores are Arrow kernels over the same buffers. All else is native columns with map-side partial
+aggregation.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from readqc import config as C
 from readqc.functions import reads as R
+from readqc.functions.arrow import SCORE, flat, places, quality_sum, read_sums
 
 _BASE = np.full(256, 4, np.int8)
 for _i, _pair in enumerate(("Aa", "Cc", "Gg", "Tt")):
@@ -34,25 +35,10 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def per_read(reads: DataFrame) -> DataFrame:
-    """Numbers of each read that several metrics need: len, gc, qlen, qsum, q20, q30; all native but the sum of scores."""
-    return reads.withColumns({
-        "len": F.length("seq"), "gc": R.gc_count("seq"), "qlen": F.coalesce(F.length("qual"), F.lit(0)),
-        "qsum": F.coalesce(quality_sum("qual"), F.lit(0)), "q20": F.coalesce(R.at_least("qual", 20), F.lit(0)), "q30": F.coalesce(R.at_least("qual", 30), F.lit(0)),
-    })
-
-
-@F.pandas_udf(T.LongType())
-def quality_sum(qual):
-    """Sum of scores of each quality string, over whole Arrow batches."""
-    some = qual.notna().to_numpy()
-    texts = qual[some].tolist()
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    scores = np.maximum(np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8).astype(np.int64) - 33, 0)
-    sums = np.concatenate([[0], np.cumsum(scores)])
-    ends = np.cumsum(lens)
-    out = qual.astype(object)
-    out[some] = sums[ends] - sums[ends - lens]
-    return out
+    """Numbers of each read that several metrics need: len, gc, qlen, qsum, q20, q30; the sums by one Arrow kernel."""
+    rows = reads.withColumn("_sums", read_sums("seq", "qual"))
+    rows = rows.withColumns({"len": F.length("seq"), "qlen": F.coalesce(F.length("qual"), F.lit(0))} | {c: F.col(f"_sums.{c}") for c in ("gc", "qsum", "q20", "q30")})
+    return rows.drop("_sums")
 
 
 def summary(trimmed: DataFrame, *by: str) -> DataFrame:
@@ -98,31 +84,33 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of one task: kind (b: base, q: score, s: sum of scores, k: 4-mer), pos, code, n."""
     base = np.zeros((C.MAX_POSITION, 5), np.int64)
     score = np.zeros((C.MAX_POSITION, C.PHRED_BINS), np.int64)
-    sums = np.zeros(C.MAX_POSITION, np.int64)
+    extra = np.zeros(C.MAX_POSITION, np.int64)
     kmers = np.zeros(256, np.int64)
 
-    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        texts = [t or "" for t in column.to_pylist()]
-        lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        data = np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8)
-        return data, np.arange(len(data)) - np.repeat(np.cumsum(lens) - lens, lens)
-
     for batch in batches:
-        data, pos = flat(batch.column(0))
-        code = _BASE[data]
-        near = pos < C.MAX_POSITION
-        base += np.bincount(pos[near] * 5 + code[near], minlength=base.size).reshape(base.shape)
+        data, borders = flat(batch.column(0))
+        pos, code = places(borders), _BASE[data]
         if len(code) >= 4:
-            c = code.astype(np.int64)
-            word = ((c[:-3] * 4 + c[1:-2]) * 4 + c[2:-1]) * 4 + c[3:]
-            whole = (pos[3:] >= 3) & (code[:-3] < 4) & (code[1:-2] < 4) & (code[2:-1] < 4) & (code[3:] < 4)
+            word = code[:-3].astype(np.int32)
+            for k in (1, 2, 3):
+                word = word * 4 + code[k : len(code) - 3 + k]
+            other = code > 3
+            whole = ~(other[:-3] | other[1:-2] | other[2:-1] | other[3:]) & (pos[3:] >= 3)
             kmers += np.bincount(word[whole], minlength=256)
-        data, pos = flat(batch.column(1))
-        phred = np.maximum(data.astype(np.int64) - 33, 0)
-        near = pos < C.MAX_POSITION
-        pos, phred = pos[near], phred[near]
+        if len(pos) and pos.max() >= C.MAX_POSITION:
+            near = pos < C.MAX_POSITION
+            pos, code = pos[near], code[near]
+        base += np.bincount(pos * 5 + code, minlength=base.size).reshape(base.shape)
+        data, borders = flat(batch.column(1))
+        pos, phred = places(borders), SCORE[data]
+        if len(pos) and pos.max() >= C.MAX_POSITION:
+            near = pos < C.MAX_POSITION
+            pos, phred = pos[near], phred[near]
+        # Scores by place first; sums follow from them but for scores over the last bin.
         score += np.bincount(pos * C.PHRED_BINS + np.minimum(phred, C.PHRED_BINS - 1), minlength=score.size).reshape(score.shape)
-        sums += np.bincount(pos, phred, C.MAX_POSITION).astype(np.int64)
+        over = np.flatnonzero(phred >= C.PHRED_BINS)
+        extra += np.bincount(pos[over], phred[over] - (C.PHRED_BINS - 1), C.MAX_POSITION).astype(np.int64)
+    sums = score @ np.arange(C.PHRED_BINS) + extra
     for kind, table in (("b", base), ("q", score), ("s", sums[:, None]), ("k", kmers[None, :])):
         p, c = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array([kind] * len(p), pa.string()), pa.array(p, pa.int32()), pa.array(c, pa.int32()), pa.array(table[p, c], pa.int64())], names=["kind", "pos", "code", "n"])
@@ -174,9 +162,30 @@ def top_kmers(counts: DataFrame, k: int = C.TOP) -> DataFrame:
     return kmer_counts(counts).orderBy(F.desc("n"), "kmer").limit(k)
 
 
-def first_reads(reads: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` reads in file order; the sample is part of the metrics' definition."""
-    return reads.orderBy("ord", "id", "seq", "qual").limit(n)
+def first_reads(reads: DataFrame, n: int, bins: int = 4096, enough: int = 20_000) -> DataFrame:
+    """The first ``n`` reads in file order; the sample is part of the metrics' definition.
+
+    Reads are counted by ranges of their number, in steps down to a range that few are in, at most ``bins`` counts at a
+    time; all before that range are taken as they are, and only those in it are ordered. A small ``n`` is simply ordered."""
+    order = ("ord", "id", "seq", "qual")
+    if n <= enough:
+        return reads.orderBy(*order).limit(n)
+    low, high, total = reads.agg(F.min("ord"), F.max("ord"), F.count("*")).first()
+    if total <= n:
+        return reads
+    taken, inside = 0, total
+    while inside > enough and high > low:
+        width = -(-(high - low + 1) // bins)
+        at = F.expr(f"(ord - {low}) div {width}")
+        counts = reads.where(F.col("ord").between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n")).collect()
+        for r in sorted(counts, key=lambda r: r["bin"]):
+            if taken + r["n"] >= n:
+                low, inside = low + r["bin"] * width, r["n"]
+                high = min(high, low + width - 1)
+                break
+            taken += r["n"]
+    edge = reads.where(F.col("ord").between(low, high)).orderBy(*order).limit(n - taken)
+    return reads.where(F.col("ord") < low).unionByName(edge)
 
 
 def overrepresented(reads: DataFrame, sample: int = C.SAMPLE_READS) -> DataFrame:

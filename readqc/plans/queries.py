@@ -12,6 +12,7 @@ from readqc.functions import reads as R
 from readqc.operators import metrics as M
 from readqc.operators import rules
 from readqc.operators.trim import kept, passes, trim, window_cut
+from readqc.session import written
 from readqc.sources.sinks import fill_quality
 from readqc.sources.tables import derived_ont, derived_reads, ont_sql, reads_sql
 
@@ -97,6 +98,11 @@ def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(_trim(spark, sf_dir))
 
 
+def _sampled(reads: DataFrame) -> DataFrame:
+    """Reads for a metric of the first ones, which looks for their end before it reads them."""
+    return written(reads.select("ord", "id", "seq", "qual"))
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.position_counts(_kept(spark, sf_dir))
 
@@ -171,13 +177,13 @@ def _over_sql(ctes: str) -> str:
 
 @query(_over_sql(_KEPT))
 def overrepresented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.overrepresented(_kept(spark, sf_dir)))
+    return rounded(M.overrepresented(_sampled(_kept(spark, sf_dir))))
 
 
 @query(_over_sql(f"{_READS}, k AS (SELECT * FROM reads WHERE length(seq) >= 20)"))
 def overrepresented_untrimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the adapter module off, so that sources are found."""
-    return rounded(M.overrepresented(derived_reads(spark, sf_dir).where("length(seq) >= 20")))
+    return rounded(M.overrepresented(_sampled(derived_reads(spark, sf_dir).where("length(seq) >= 20"))))
 
 
 @query(f"WITH {_KEPT}, d AS (SELECT count(*) AS read_count, count(DISTINCT substr(seq,1,50)) AS distinct_reads FROM k) SELECT *, {_pct('(read_count-distinct_reads)', 'read_count')} AS dup_percent FROM d")
@@ -197,7 +203,7 @@ _LABELS = ", ".join(f"({i},'{x}')" for i, x in enumerate(DUPLICATION_LEVELS))
 @query(f"""WITH {_KEPT}, {_SAMPLE}, g AS (SELECT substr(seq,1,50) AS s, count(*) AS n FROM first GROUP BY 1), l AS (SELECT {_LEVEL} AS level, count(*) AS c, sum(n) AS r FROM g GROUP BY 1)
  SELECT v.level, v.label, coalesce(c,0) AS distinct_keys, {_pct('coalesce(c,0)', '(SELECT sum(r) FROM l)')} AS percent FROM (VALUES {_LABELS}) v(level,label) LEFT JOIN l ON l.level=v.level""")
 def dup_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.duplication_histogram(_kept(spark, sf_dir)))
+    return rounded(M.duplication_histogram(_sampled(_kept(spark, sf_dir))))
 
 
 @query(f"WITH {_KEPT}, h AS (SELECT least({_QSUM}//length(qual),42) AS quality, count(*) AS n FROM k WHERE length(qual)>0 GROUP BY 1) SELECT s.i AS quality, coalesce(n,0) AS n FROM range(43) s(i) LEFT JOIN h ON quality=s.i")
@@ -307,10 +313,6 @@ def _step(**options) -> QCConfig:
     return QCConfig(min_length=0, modules=Modules(adapter=False), **options)
 
 
-def _kept_or_gone(n: str) -> str:
-    return f"SELECT *, {n} AS n0 FROM reads"
-
-
 @query(f"WITH {_READS}, s AS (SELECT substr(substr(seq,6),1,greatest(length(seq)-12,0)) AS seq, substr(substr(qual,6),1,greatest(length(seq)-12,0)) AS qual, length(seq) > 12 AS ok FROM reads) {_digest_sql('s', 'ok')}")
 def hard_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(trim(derived_reads(spark, sf_dir), _step(trim_front=5, trim_tail=7)))
@@ -445,7 +447,7 @@ _COMPARE = " UNION ALL ".join(f"SELECT {i} AS place, '{m}' AS metric, round(f.{m
 
 @query(f"WITH {_KEPT}, " + _profile_sql("f", " WHERE sample='F'") + ", " + _profile_sql("o", " WHERE sample='O'") + f" SELECT place, metric, round(first,4) AS first, round(second,4) AS second, round(delta,4) AS delta FROM ({_COMPARE})")
 def two_sample_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trimmed = _trim(spark, sf_dir)
+    trimmed = written(_trim(spark, sf_dir))
     found = rules.compare(*[rules.sample_profile(trimmed.where(F.col("sample") == s)) for s in ("F", "O")])
     return rounded(found.withColumns({c: F.round(c, 4) for c in ("first", "second", "delta")}))
 
@@ -471,9 +473,9 @@ def _grade_sql(ok: str, fair: str) -> str:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trimmed = _trim(spark, sf_dir)
+    trimmed = written(_trim(spark, sf_dir))
     reads = kept(trimmed)
-    return rules.facts(trimmed, M.position_counts(reads), M.duplication_rate(reads, exact=True), M.overrepresented(reads), M.long_read_mode(reads))
+    return rules.facts(trimmed, written(M.position_counts(reads)), M.duplication_rate(reads, exact=True), M.overrepresented(reads), M.long_read_mode(reads))
 
 
 _STATUS = (

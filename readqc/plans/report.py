@@ -60,16 +60,19 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
 def analyse(spark: SparkSession, reads: DataFrame, cfg: QCConfig, path: str = "reads") -> FileReport:
     """Metrics, rules and chart data of ``reads``."""
     on = cfg.modules
-    trimmed = trim(reads, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    trimmed, held_too = trim(reads, cfg).persist(StorageLevel.MEMORY_AND_DISK), []
     try:
         good = kept(trimmed)
         counts = M.position_counts(good).persist()
+        held_too.append(counts)
         long_read = M.long_read_mode(good, cfg.long_read)
         is_long = long_read.first()["long_read"]
         dup = M.duplication_rate(good) if on.duplication else spark.sql("SELECT 0D AS dup_percent")
         over = M.overrepresented(good) if on.overrepresented else _empty(spark, "sequence string, n long, percentage double, possible_source string")
         over = over.persist()
+        held_too.append(over)
         facts = rules.facts(trimmed, counts, dup, over, spark.createDataFrame([(is_long,)], "long_read boolean")).persist()
+        held_too.append(facts)
         gc = M.gc_histogram(good)
         rows = lambda df, *order: [list(r) for r in (df.orderBy(*order) if order else df).collect()]
         comp = rows(M.base_composition(counts).select("pos", "a_percent", "c_percent", "g_percent", "t_percent", "other_percent"), "pos")
@@ -108,7 +111,8 @@ def analyse(spark: SparkSession, reads: DataFrame, cfg: QCConfig, path: str = "r
             write_fastq(good, report.trim_output)
         return report
     finally:
-        trimmed.unpersist()
+        for held in (trimmed, *held_too):
+            held.unpersist()
 
 
 def run(spark: SparkSession, cfg: QCConfig) -> list[FileReport]:

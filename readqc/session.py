@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -30,3 +32,27 @@ def local_session(cpus: int | str = 8, memory: str = "8g", **conf: str) -> Spark
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return importable(spark)
+
+
+_own_root: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which driver and executors share. Only a local session may leave it unset
+    (tests): it gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_root:
+        _own_root.append("file://" + tempfile.mkdtemp(prefix="readqc-"))
+    return _own_root[0]
+
+
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` as a table in the shared folder, for what is read more than once: computed once, and not lost with an
+    executor."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,9 +48,18 @@ def ont_sql(events: str = "events", duckdb: bool = True) -> str:
     return ONT.format(time=time, events=events)
 
 
+def _spread(rows: DataFrame, *key: str) -> DataFrame:
+    """A table of few large row groups is dealt out, while its rows are still a few numbers; one that the scan splits
+    already stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= 2 * cores else rows.repartition(2 * cores, *key)
+
+
 def derived_reads(spark: SparkSession, sf_dir: str, mate: int = 1) -> DataFrame:
-    return settled(spark.sql(reads_sql("{lineitem}", mate), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_linestatus", "l_quantity", "l_returnflag")
+    return settled(spark.sql(reads_sql("{lineitem}", mate), lineitem=_spread(rows, "l_orderkey", "l_linenumber")))
 
 
 def derived_ont(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(spark.sql(ont_sql("{events}", duckdb=False), events=spark.read.parquet(f"{sf_dir}/events.parquet")))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    return settled(spark.sql(ont_sql("{events}", duckdb=False), events=_spread(rows, "event_id")))

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -63,11 +64,35 @@ def test_headers(spark):
 
 def test_scalars(spark):
     df = spark.createDataFrame([("ACGTNacgtn", "!+5?I"), ("", ""), ("GC", None)], "seq string, qual string")
-    got = df.select(R.gc_count("seq"), R.n_count("seq"), R.gc_bin("seq"), R.phred_sum("qual"), R.at_least("qual", 20), R.at_least("qual", 30), R.length_bin("qual"), M.quality_sum("qual"), R.kmers("seq")).collect()
-    assert tuple(got[0])[:8] == (4, 2, 40, 0 + 10 + 20 + 30 + 40, 3, 2, 0, 100)
-    assert got[0][8] == ["ACGT", "ACGT"]
-    assert tuple(got[1]) == (0, 0, None, 0, 0, 0, 0, 0, [])
-    assert tuple(got[2])[3:8] == (None, None, None, None, None)
+    got = df.select(R.gc_count("seq"), R.n_count("seq"), R.gc_bin("seq"), R.length_bin("qual"), M.quality_sum("qual"), R.kmers("seq")).collect()
+    assert tuple(got[0])[:5] == (4, 2, 40, 0, 0 + 10 + 20 + 30 + 40)
+    assert got[0][5] == ["ACGT", "ACGT"]
+    assert tuple(got[1]) == (0, 0, None, 0, 0, [])
+    assert tuple(got[2])[3:5] == (None, None)
+    sums = [tuple(r) for r in M.per_read(df).select("len", "gc", "qlen", "qsum", "q20", "q30").collect()]
+    assert sums == [(10, 4, 5, 100, 3, 2), (0, 0, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0)]
+
+
+def test_characters_beyond_ascii(spark):
+    """One place for each character, whatever its bytes, beside nulls and in slices of a batch."""
+    rows = [("é", "é"), (None, None), ("ACé日GT", "Iééé!"), ("GG", "5")]
+    df = spark.createDataFrame(rows, "seq string, qual string").coalesce(1)
+    want = [sum(max((ord(c) if ord(c) < 256 else 63) - 33, 0) for c in q or "") for _, q in rows]
+    assert [r.qsum for r in M.per_read(df).collect()] == want
+    got = {(r.pos, r.code): r.n for r in M.position_counts(df).where("kind = 'b'").collect()}
+    assert got == {(0, 4): 1, (0, 0): 1, (1, 1): 1, (2, 4): 1, (3, 4): 1, (4, 2): 1, (5, 3): 1, (0, 2): 1, (1, 2): 1}
+
+
+def test_first_reads_are_the_first(spark):
+    """However reads lie and repeat numbers, and however many steps the search takes."""
+    rng = random.Random(6)
+    rows = [(rng.choice((rng.randint(0, 50), rng.randint(0, 10**9), 7, 10**12)), str(i), "A", "I") for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for n in (0, 1, 50, 700, 1500, 2999, 3000, 9000):
+        for bins, enough in ((3, 0), (4, 10), (4096, 100)):
+            got = sorted((r.ord, r.id) for r in M.first_reads(df, n, bins, enough).collect())
+            assert got == sorted((o, i) for o, i, _, _ in rows)[:n]
+    assert M.first_reads(df.where("false"), 5, enough=0).count() == 0
     assert df.select(R.adapter_source("seq")).first()[0] == "No hit"
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from readqc.config import ADAPTERS, Modules, QCConfig
@@ -60,7 +61,7 @@ def test_window_cuts(kind):
     quals = ["", "I", "III", "!!!!", "IIII"] + ["".join(rng.choice("!+5?I") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
     for w, q in ((1, 20), (4, 20), (5, 31), (40, 3)):
         want = [getattr(oracle, f"cut_{kind}")(x, w, q) for x in quals]
-        assert window_cuts(quals, w, q, kind).tolist() == want
+        assert window_cuts(pa.array(quals), w, q, kind).tolist() == want
 
 
 def test_known_vectors(spark):
