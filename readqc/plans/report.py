@@ -7,13 +7,14 @@ tiles, the top twenty). The trimmed reads are persisted for the run, so that fil
 from __future__ import annotations
 
 import json
+import sys
 import time
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 from pathlib import Path, PurePosixPath
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from readqc.config import DUPLICATION_LEVELS, QCConfig
@@ -21,6 +22,7 @@ from readqc.functions import text as X
 from readqc.operators import metrics as M
 from readqc.operators import rules
 from readqc.operators.trim import kept, trim
+from readqc.session import written
 from readqc.sources.files import read_reads
 from readqc.sources.sinks import stem, trimmed_name, write_fastq
 
@@ -119,13 +121,27 @@ def run(spark: SparkSession, cfg: QCConfig) -> list[FileReport]:
     """Analyse the files of ``cfg`` one by one (with a second mate file: both mates pooled) and write its reports."""
     if not cfg.paths:
         raise ValueError("no input files")
-    began, mode = time.time(), "FAILFAST" if cfg.strict else "PERMISSIVE"
+    began, mode = time.time(), "FAILFAST" if cfg.strict else "DROPMALFORMED"
     reports = []
+
+    def read(path: str, watch: Observation) -> DataFrame:
+        return read_reads(spark, path, mode=mode, watch=None if cfg.strict else watch)
+
+    def warn(path: str, watch: Observation) -> None:
+        if not cfg.strict and (bad := watch.get["malformed"]):
+            print(f"warning: {bad} malformed records of {path} were left out", file=sys.stderr)
+
     if cfg.r2:
-        mates = [read_reads(spark, p, mode=mode) for p in (cfg.paths[0], cfg.r2)]
+        paths, watches = (cfg.paths[0], cfg.r2), (Observation(), Observation())
+        mates = [written(read(p, w), "mate") for p, w in zip(paths, watches, strict=True)]
+        for p, w in zip(paths, watches, strict=True):
+            warn(p, w)
         reports.append(analyse(spark, M.pair_up(*mates), cfg, cfg.paths[0]))
     else:
-        reports = [analyse(spark, read_reads(spark, p, mode=mode), cfg, p) for p in cfg.paths]
+        for path in cfg.paths:
+            watch = Observation()
+            reports.append(analyse(spark, read(path, watch), cfg, path))
+            warn(path, watch)
     out, seconds = Path(cfg.output_dir), time.time() - began
     out.mkdir(parents=True, exist_ok=True)
     name = report_stem(reports)
