@@ -43,7 +43,7 @@ def sums(column: pa.Array, table: np.ndarray) -> np.ndarray:
 
 SCORE = np.maximum(np.arange(256) - 33, 0).astype(np.int32)
 _GC = np.isin(np.arange(256), [ord(c) for c in "GCgc"]).astype(np.int8)
-_Q20, _Q30 = (SCORE >= 20).astype(np.int8), (SCORE >= 30).astype(np.int8)
+_Q10, _Q20, _Q30 = ((SCORE >= q).astype(np.int8) for q in (10, 20, 30))
 
 
 def _with_nulls(values: np.ndarray, like: pa.Array) -> pa.Array:
@@ -56,7 +56,7 @@ def quality_sum(qual: pa.Array) -> pa.Array:
     return _with_nulls(sums(qual, SCORE), qual)
 
 
-@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("gc", "qsum", "q20", "q30")]))
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("gc", "qsum", "q10", "q20", "q30")]))
 def read_sums(seq: pa.Array, qual: pa.Array) -> pa.Array:
-    """Of each read how many bases are G or C, its sum of scores, and how many scores are at least 20 and 30 (0 without)."""
-    return pa.StructArray.from_arrays([pa.array(sums(c, t), pa.int64()) for c, t in ((seq, _GC), (qual, SCORE), (qual, _Q20), (qual, _Q30))], names=["gc", "qsum", "q20", "q30"])
+    """Of each read how many bases are G or C, its sum of scores, and how many scores are at least 10, 20 and 30 (0 without)."""
+    return pa.StructArray.from_arrays([pa.array(sums(c, t), pa.int64()) for c, t in ((seq, _GC), (qual, SCORE), (qual, _Q10), (qual, _Q20), (qual, _Q30))], names=["gc", "qsum", "q10", "q20", "q30"])

@@ -35,31 +35,32 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def per_read(reads: DataFrame) -> DataFrame:
-    """Numbers of each read that several metrics need: len, gc, qlen, qsum, q20, q30; the sums by one Arrow kernel."""
+    """Numbers of each read that several metrics need: len, gc, qlen, qsum, q10, q20, q30; the sums by one Arrow kernel."""
     rows = reads.withColumn("_sums", read_sums("seq", "qual"))
-    rows = rows.withColumns({"len": F.length("seq"), "qlen": F.coalesce(F.length("qual"), F.lit(0))} | {c: F.col(f"_sums.{c}") for c in ("gc", "qsum", "q20", "q30")})
+    rows = rows.withColumns({"len": F.length("seq"), "qlen": F.coalesce(F.length("qual"), F.lit(0))} | {c: F.col(f"_sums.{c}") for c in ("gc", "qsum", "q10", "q20", "q30")})
     return rows.drop("_sums")
 
 
-def summary(trimmed: DataFrame, *by: str) -> DataFrame:
-    """Counts, lengths, composition and quality of the kept reads, and how many were filtered, for each group."""
+def summary(trimmed: DataFrame, *by: str, rollup: bool = False) -> DataFrame:
+    """Counts, lengths, composition and quality of the kept reads, and how many were filtered, for each group, and with
+    ``rollup`` for all of them (a null group)."""
     rows = per_read(trimmed)
     k = F.col("keep")
 
     def total(c: str) -> Column:
         return F.coalesce(F.sum(F.when(k, F.col(c))), F.lit(0))
 
-    sums = rows.groupBy(*by).agg(
+    sums = (rows.rollup(*by) if rollup else rows.groupBy(*by)).agg(
         F.count_if(k).alias("read_count"), F.count_if(~k).alias("filtered_reads"), total("len").alias("total_bases"),
         F.coalesce(F.min(F.when(k & (F.col("len") > 0), F.col("len"))), F.lit(0)).alias("min_length"),
         F.coalesce(F.max(F.when(k, F.col("len"))), F.lit(0)).alias("max_length"),
         total("gc").alias("gc_bases"), total("qsum").alias("quality_sum"), total("qlen").alias("quality_bases"),
-        total("q20").alias("q20_bases"), total("q30").alias("q30_bases"), F.count_if(k & F.col("adapter").isNotNull()).alias("adapter_hits"),
+        total("q10").alias("q10_bases"), total("q20").alias("q20_bases"), total("q30").alias("q30_bases"), F.count_if(k & F.col("adapter").isNotNull()).alias("adapter_hits"),
     )
     c = F.col
     return sums.withColumns({
         "avg_length": ratio(c("total_bases"), c("read_count")), "gc_percent": percent(c("gc_bases"), c("total_bases")),
-        "avg_quality": ratio(c("quality_sum"), c("quality_bases")), "q20_percent": percent(c("q20_bases"), c("quality_bases")),
+        "avg_quality": ratio(c("quality_sum"), c("quality_bases")), "q10_percent": percent(c("q10_bases"), c("quality_bases")), "q20_percent": percent(c("q20_bases"), c("quality_bases")),
         "q30_percent": percent(c("q30_bases"), c("quality_bases")), "adapter_percent": percent(c("adapter_hits"), c("read_count")),
     })
 
@@ -208,6 +209,17 @@ def duplication_rate(reads: DataFrame, exact: bool = False) -> DataFrame:
     return sums.withColumn("dup_percent", percent(F.greatest(F.col("read_count") - F.col("distinct_reads"), F.lit(0)), F.col("read_count")))
 
 
+def duplication_sketches(reads: DataFrame, *by: str) -> DataFrame:
+    """read_count and a mergeable sketch of the distinct reads, for each group; to be stored and merged later."""
+    return reads.groupBy(*by).agg(F.count("*").alias("read_count"), F.hll_sketch_agg(R.key("seq"), F.lit(14)).alias("sketch"))
+
+
+def merged_duplication(sketches: DataFrame) -> DataFrame:
+    """``duplication_rate`` of all reads that went into ``sketches``, without reading them again."""
+    sums = sketches.agg(F.coalesce(F.sum("read_count"), F.lit(0)).alias("read_count"), F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("distinct_reads"))
+    return sums.withColumn("dup_percent", percent(F.greatest(F.col("read_count") - F.col("distinct_reads"), F.lit(0)), F.col("read_count")))
+
+
 def duplication_histogram(reads: DataFrame, sample: int = C.SAMPLE_READS) -> DataFrame:
     """level, label, distinct_keys, percent (of the reads looked at) for the nine levels; empty ones too."""
     counts = first_reads(reads, sample).groupBy(R.key("seq").alias("k")).agg(F.count("*").alias("n"))
@@ -314,12 +326,11 @@ def long_read_mode(reads: DataFrame, forced: bool = False) -> DataFrame:
 
 
 def batch_summary(trimmed: DataFrame, by: str = "sample") -> DataFrame:
-    """One row for each sample, and one (null) for all of them."""
-    return summary(trimmed, by).unionByName(summary(trimmed).withColumn(by, F.lit(None).cast("string")))
+    """One row for each sample, and one (null) for all of them, from one pass."""
+    return summary(trimmed, by, rollup=True)
 
 
 def pair_up(first: DataFrame, second: DataFrame) -> DataFrame:
     """Mates joined by their place (ord) and pooled as reads of their own; a read without a mate goes."""
-    both = first.select("ord").join(second.select("ord"), "ord", "left_semi")
-    mates = [df.join(both, "ord", "left_semi").withColumn("mate", F.lit(k).cast("tinyint")) for k, df in ((1, first), (2, second))]
-    return mates[0].unionByName(mates[1].join(first.select("ord"), "ord", "left_semi"))
+    a, b = (df.select("ord", F.struct("*", F.lit(k).cast("tinyint").alias("mate")).alias(f"_{k}")) for k, df in ((1, first), (2, second)))
+    return a.join(b, "ord").select(F.explode(F.array("_1", "_2")).alias("r")).select("r.*")

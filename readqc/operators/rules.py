@@ -83,23 +83,24 @@ def browser_status(facts: DataFrame) -> DataFrame:
 
 
 def card_classes(facts: DataFrame) -> DataFrame:
-    """card, value, class of the overview's cards."""
+    """card, value, class of the overview's cards. Long reads seldom reach a score of 30: theirs are of 10 and 20."""
     c, long = F.col, F.col("long_read")
     ok_or_warn = lambda cond: F.when(cond, PASS).otherwise(WARN)
     cards = (
         ("n50", c("n50"), F.when(long, ok_or_warn(c("n50") > 10_000)).otherwise("")),
         ("gc", c("gc_percent"), between(c("gc_percent"), (35, 65), (25, 75))),
         ("quality", c("avg_quality"), F.when(long, at_least(c("avg_quality"), 10, 8)).otherwise(at_least(c("avg_quality"), 30, 20))),
-        ("q20", c("q20_percent"), ok_or_warn(F.when(long, c("q20_percent") >= 50).otherwise(c("q20_percent") >= 80))),
-        ("q30", c("q30_percent"), ok_or_warn(F.when(long, c("q20_percent") >= 30).otherwise(c("q30_percent") >= 70))),
+        (F.when(long, "q10").otherwise("q20"), F.when(long, c("q10_percent")).otherwise(c("q20_percent")), ok_or_warn(F.when(long, c("q10_percent") >= 50).otherwise(c("q20_percent") >= 80))),
+        (F.when(long, "q20").otherwise("q30"), F.when(long, c("q20_percent")).otherwise(c("q30_percent")), ok_or_warn(F.when(long, c("q20_percent") >= 30).otherwise(c("q30_percent") >= 70))),
         ("adapter", c("adapter_percent"), below(c("adapter_percent"), 1, 10)),
         ("duplication", c("dup_percent"), below(c("dup_percent"), 5, 20)),
     )
-    return facts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("card"), v.cast("double").alias("value"), k.alias("class")) for n, v, k in cards])).alias("r")).select("r.*")
+    return facts.select(F.explode(F.array(*[F.struct((F.lit(n) if isinstance(n, str) else n).alias("card"), v.cast("double").alias("value"), k.alias("class")) for n, v, k in cards])).alias("r")).select("r.*")
 
 
 def suggestions(facts: DataFrame) -> DataFrame:
-    """place, option, value: options worth trying, with the number that speaks for each."""
+    """place, option, value, level: options worth trying, with the number that speaks for each; ``strong`` for adapters in
+    more than a fifth of the reads."""
     c = F.col
     tail = F.coalesce(c("tail_g"), F.lit(0.0)) / 10
     rules = (
@@ -111,11 +112,12 @@ def suggestions(facts: DataFrame) -> DataFrame:
         ("deduplicate", c("dup_percent"), c("dup_percent") > 50),
     )
     rows = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(o).alias("option"), v.alias("value"), F.coalesce(k, F.lit(False)).alias("k")) for i, (o, v, k) in enumerate(rules)])
-    return facts.select(F.explode(rows).alias("r")).where("r.k").select("r.place", "r.option", "r.value")
+    found = facts.select(F.explode(rows).alias("r")).where("r.k").select("r.place", "r.option", "r.value")
+    return found.withColumn("level", F.when((F.col("option") == "--trim") & (F.col("value") > 20), "strong").otherwise(""))
 
 
 # Metrics of a comparison, in order.
-COMPARED = ("read_count", "total_bases", "avg_length", "gc_percent", "avg_quality", "q20_percent", "q30_percent", "adapter_percent", "dup_percent", "n50")
+COMPARED = ("read_count", "total_bases", "avg_length", "gc_percent", "avg_quality", "q10_percent", "q20_percent", "q30_percent", "adapter_percent", "dup_percent", "n50")
 
 
 def compare(first: DataFrame, second: DataFrame) -> DataFrame:

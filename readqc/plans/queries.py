@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from readqc.functions import reads as R
 from readqc.operators import metrics as M
 from readqc.operators import rules
 from readqc.operators.trim import kept, passes, trim, window_cut
-from readqc.session import written
-from readqc.sources.sinks import fill_quality
+from readqc.session import shared_root, written
+from readqc.sources.files import read_reads
+from readqc.sources.sinks import fill_quality, write_fastq
 from readqc.sources.tables import derived_ont, derived_reads, ont_sql, reads_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,14 +64,14 @@ def _summary_sql(source: str = "t", by: str = "", where: str = "") -> str:
     return f"""SELECT {lead}count(*) FILTER (f) AS read_count, count(*) FILTER (NOT f) AS filtered_reads, coalesce(sum(n) FILTER (f),0)::bigint AS total_bases,
  coalesce(min(n) FILTER (f),0)::bigint AS min_length, coalesce(max(n) FILTER (f),0)::bigint AS max_length, coalesce(sum(gc) FILTER (f),0)::bigint AS gc_bases,
  coalesce(sum(qs) FILTER (f),0)::bigint AS quality_sum, coalesce(sum(m) FILTER (f),0)::bigint AS quality_bases,
- coalesce(sum(q2) FILTER (f),0)::bigint AS q20_bases, coalesce(sum(q3) FILTER (f),0)::bigint AS q30_bases, count(*) FILTER (f AND adapter IS NOT NULL) AS adapter_hits
+ coalesce(sum(q1) FILTER (f),0)::bigint AS q10_bases, coalesce(sum(q2) FILTER (f),0)::bigint AS q20_bases, coalesce(sum(q3) FILTER (f),0)::bigint AS q30_bases, count(*) FILTER (f AND adapter IS NOT NULL) AS adapter_hits
  FROM (SELECT *, length(seq) >= 20 AS f, length(seq) AS n, length(seq)-length(translate(seq,'GCgc','')) AS gc, length(qual) AS m, {_QSUM} AS qs,
-  len([1 for c in string_split(qual,'') if ascii(c) >= 53]) AS q2, len([1 for c in string_split(qual,'') if ascii(c) >= 63]) AS q3 FROM {source}{where}) x{group}"""
+  len([1 for c in string_split(qual,'') if ascii(c) >= 43]) AS q1, len([1 for c in string_split(qual,'') if ascii(c) >= 53]) AS q2, len([1 for c in string_split(qual,'') if ascii(c) >= 63]) AS q3 FROM {source}{where}) x{group}"""
 
 
-_SUMMARY_COLUMNS = f"""read_count, filtered_reads, total_bases, min_length, max_length, gc_bases, quality_sum, quality_bases, q20_bases, q30_bases, adapter_hits,
+_SUMMARY_COLUMNS = f"""read_count, filtered_reads, total_bases, min_length, max_length, gc_bases, quality_sum, quality_bases, q10_bases, q20_bases, q30_bases, adapter_hits,
  {_rat('total_bases', 'read_count')} AS avg_length, {_pct('gc_bases', 'total_bases')} AS gc_percent, {_rat('quality_sum', 'quality_bases')} AS avg_quality,
- {_pct('q20_bases', 'quality_bases')} AS q20_percent, {_pct('q30_bases', 'quality_bases')} AS q30_percent, {_pct('adapter_hits', 'read_count')} AS adapter_percent"""
+ {_pct('q10_bases', 'quality_bases')} AS q10_percent, {_pct('q20_bases', 'quality_bases')} AS q20_percent, {_pct('q30_bases', 'quality_bases')} AS q30_percent, {_pct('adapter_hits', 'read_count')} AS adapter_percent"""
 
 # ------------------------------------------------------------------------------------------------------------ queries
 
@@ -196,6 +198,25 @@ def dup_rate_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.duplication_rate(_kept(spark, sf_dir)))
 
 
+def _close(rate: DataFrame, reads: DataFrame) -> DataFrame:
+    """read_count, and whether the estimate of distinct reads is off by 4 % (four standard errors) at most."""
+    exact = M.duplication_rate(reads, exact=True).select(F.col("distinct_reads").alias("d"))
+    return rate.join(F.broadcast(exact), F.lit(True)).select("read_count", (F.abs(F.col("distinct_reads") - F.col("d")) <= F.col("d") * 0.04).alias("close"))
+
+
+@query(f"WITH {_KEPT} SELECT count(*) AS read_count, true AS close FROM k")
+def dup_rate_hll_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = _sampled(_kept(spark, sf_dir))
+    return rounded(_close(M.duplication_rate(reads), reads))
+
+
+@query(f"WITH {_KEPT} SELECT count(*) AS read_count, true AS close FROM k")
+def dup_rate_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a sketch for each sample, merged."""
+    reads = written(_kept(spark, sf_dir).select("sample", "ord", "id", "seq", "qual"))
+    return rounded(_close(M.merged_duplication(written(M.duplication_sketches(reads, "sample"))), reads))
+
+
 _LEVEL = "CASE " + " ".join(f"WHEN n >= {floor} THEN {i}" for i, floor in reversed(list(enumerate(DUPLICATION_FLOORS)))) + " END"
 _LABELS = ", ".join(f"({i},'{x}')" for i, x in enumerate(DUPLICATION_LEVELS))
 
@@ -457,7 +478,7 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.batch_summary(_trim(spark, sf_dir)))
 
 
-_FACTS = f"""{_KEPT}, {_BASES}, {_COMP}, {_SCORES}, su0 AS ({_summary_sql()}), su AS (SELECT {_SUMMARY_COLUMNS} FROM su0),
+_FACTS_FORM = f"""{{kept}}, {_BASES}, {_COMP}, {_SCORES}, su0 AS ({_summary_sql()}), su AS (SELECT {_SUMMARY_COLUMNS} FROM su0),
  qp AS (SELECT pos, avg(s) AS mq FROM q GROUP BY pos),
  sk AS (SELECT max(greatest(abs(a-t),abs(c-g))*100.0::double/w) AS skew, max(other*100.0::double/w) AS worst_n, max(pos) AS last_base FROM comp),
  tg AS (SELECT sum(g*100.0::double/w)/10 AS tail FROM comp, sk WHERE pos > last_base-10),
@@ -465,7 +486,9 @@ _FACTS = f"""{_KEPT}, {_BASES}, {_COMP}, {_SCORES}, su0 AS ({_summary_sql()}), s
  fa AS (SELECT su.*, (SELECT min(mq) FROM qp) AS worst_quality, (SELECT max(pos) FROM qp) AS last_quality, (SELECT min(pos) FROM qp WHERE mq > 0 AND mq < 20) AS drop_at, sk.*, tail, dup,
   (SELECT count(*) FROM ov) AS n_over, (SELECT coalesce(max(percentage),0) FROM ov) AS worst_over FROM su, sk, tg, du)"""
 _OVER = _over_sql(_KEPT).split(f"{_SAMPLE}, ", 1)[1].join(["WITH " + _SAMPLE + ", ", ""])
-_FACTS = _FACTS.replace("{over}", _OVER)
+_FACTS = _FACTS_FORM.replace("{over}", _OVER).replace("{kept}", _KEPT)
+_ONT_KEPT = f"{_ONT}, {_trimmed('ont', extra='1 AS sample, 1 AS lane')}, k AS (SELECT * FROM t WHERE length(seq) >= 20)"
+_ONT_FACTS = _FACTS_FORM.replace("{over}", _OVER).replace("{kept}", _ONT_KEPT)
 
 
 def _grade_sql(ok: str, fair: str) -> str:
@@ -473,7 +496,11 @@ def _grade_sql(ok: str, fair: str) -> str:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trimmed = written(_trim(spark, sf_dir))
+    return _facts_of(trim(derived_reads(spark, sf_dir)))
+
+
+def _facts_of(trimmed: DataFrame) -> DataFrame:
+    trimmed = written(trimmed)
     reads = kept(trimmed)
     return rules.facts(trimmed, written(M.position_counts(reads)), M.duplication_rate(reads, exact=True), M.overrepresented(reads), M.long_read_mode(reads))
 
@@ -494,7 +521,7 @@ def module_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_FACTS}, r AS (SELECT 0 AS place, '--poly-g 10' AS option, tail AS value, last_base>=9 AND tail>40 AND gc_percent<65 AS k FROM fa
  UNION ALL SELECT 1, '--trim', adapter_percent, adapter_percent>5 FROM fa UNION ALL SELECT 2, '--cut-right --window-quality 20', drop_at, drop_at::double/(last_quality+1)<0.9 FROM fa
  UNION ALL SELECT 3, '--min-quality 20', avg_quality, avg_quality>0 AND avg_quality<25 FROM fa UNION ALL SELECT 4, '--max-n 5', worst_n, worst_n>5 FROM fa UNION ALL SELECT 5, 'deduplicate', dup, dup>50 FROM fa)
- SELECT place, option, round(value,4) AS value FROM r WHERE k""")
+ SELECT place, option, round(value,4) AS value, CASE WHEN option='--trim' AND value > 20 THEN 'strong' ELSE '' END AS level FROM r WHERE k""")
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rules.suggestions(_facts(spark, sf_dir)).withColumn("value", F.round("value", 4)))
 
@@ -515,6 +542,23 @@ def card_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rules.card_classes(_facts(spark, sf_dir)).withColumn("value", F.round("value", 4)))
 
 
+_LONG_STATUS = (_grade_sql("worst_quality>=10", "worst_quality>=8"), _grade_sql("avg_quality>=10", "avg_quality>=8"), *_STATUS[2:5], "'pass'", *_STATUS[6:])
+
+
+@query(f"WITH {_ONT_FACTS} " + " UNION ALL ".join(f"SELECT '{m}' AS module, {g} AS status FROM fa" for m, g in zip(rules.MODULES, _LONG_STATUS, strict=True)))
+def module_status_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limits of long reads."""
+    return rules.module_status(_facts_of(trim(derived_ont(spark, sf_dir))))
+
+
+@query(f"""WITH {_ONT_FACTS}, n AS ({_N50.format(source='k')}) SELECT 'n50' AS card, round(n50::double,4) AS value, CASE WHEN n50 > 10000 THEN 'pass' ELSE 'warn' END AS class FROM n
+ UNION ALL SELECT 'gc', round(gc_percent,4), {_grade_sql('gc_percent BETWEEN 35 AND 65', 'gc_percent BETWEEN 25 AND 75')} FROM fa UNION ALL SELECT 'quality', round(avg_quality,4), {_grade_sql('avg_quality>=10', 'avg_quality>=8')} FROM fa
+ UNION ALL SELECT 'q10', round(q10_percent,4), CASE WHEN q10_percent>=50 THEN 'pass' ELSE 'warn' END FROM fa UNION ALL SELECT 'q20', round(q20_percent,4), CASE WHEN q20_percent>=30 THEN 'pass' ELSE 'warn' END FROM fa
+ UNION ALL SELECT 'adapter', round(adapter_percent,4), {_grade_sql('adapter_percent<1', 'adapter_percent<10')} FROM fa UNION ALL SELECT 'duplication', round(dup,4), {_grade_sql('dup<5', 'dup<20')} FROM fa""")
+def card_classes_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rules.card_classes(_facts_of(trim(derived_ont(spark, sf_dir)))).withColumn("value", F.round("value", 4)))
+
+
 @query(f"""WITH {_ONT}, f AS (SELECT * FROM ont ORDER BY ord, id, seq, qual LIMIT 1000), s AS (SELECT list_sort(list(length(seq))) AS a, bool_or((contains(id,' ch=') OR starts_with(id,'ch=')) AND contains(id,'start_time=')) AS ont FROM f),
  m AS (SELECT floor((a[(len(a)-1)//2+1]+a[len(a)//2+1])/2.0)::bigint AS median_length, ont FROM s) SELECT median_length, ont, median_length > 1000 OR ont AS long_read FROM m""")
 def long_read_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -542,3 +586,57 @@ def scalar_read_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     qsum = M.quality_sum("qual")
     rows = derived_reads(spark, sf_dir).select(R.gc_bin("seq").alias("gc_bin"), qsum.alias("q"), R.mean_bin(qsum, F.length("qual")).alias("quality_bin"), R.length_bin("qual").alias("length_bin"), R.key("seq").alias("k"))
     return rounded(rows.groupBy("gc_bin", "quality_bin", "length_bin").agg(F.count("*").alias("n"), F.sum("q").alias("quality_sum"), F.count_distinct("k").alias("keys")))
+
+
+# -------------------------------------------------------------------------------------------------------- file scans
+
+
+def _as_lines(reads: DataFrame, fmt: str) -> DataFrame:
+    """FASTQ records, or FASTA ones with lines of 60 bases; every 97th FASTQ header lacks its mark."""
+    if fmt == "fasta":
+        return reads.select(F.concat(F.lit(">"), "id", F.lit("\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")).alias("value"))
+    mark = F.when(F.lit(fmt == "bad") & (F.col("ord") % 97 == 0), "").otherwise("@")
+    return reads.select(F.concat(mark, "id", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
+
+
+def _scan(spark: SparkSession, sf_dir: str, fmt: str, compression: str = "none", mode: str = "PERMISSIVE") -> DataFrame:
+    """Write the reads as files and read them back."""
+    path = f"{shared_root(spark)}/{fmt}-{uuid.uuid4().hex}"
+    _as_lines(derived_reads(spark, sf_dir), fmt).coalesce(3).write.option("compression", compression).text(path)
+    return read_reads(spark, path, mode=mode)
+
+
+def _read_digest(reads: DataFrame) -> DataFrame:
+    rows = reads.groupBy(F.md5(F.concat_ws("|", "id", "seq", "qual").cast("binary")).alias("digest"))
+    return rounded(rows.agg(F.count("*").alias("n")))
+
+
+_DIGEST = "SELECT md5(concat_ws('|',id,seq,qual)) AS digest, count(*) AS n FROM reads"
+
+
+@query(f"WITH {_READS} {_DIGEST} GROUP BY 1")
+def fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_digest(_scan(spark, sf_dir, "fastq"))
+
+
+@query(f"WITH {_READS} {_DIGEST} GROUP BY 1")
+def fastq_gzip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_digest(_scan(spark, sf_dir, "fastq", "gzip"))
+
+
+@query(f"WITH {_READS} SELECT md5(concat_ws('|',id,seq)) AS digest, count(*) AS n FROM reads GROUP BY 1")
+def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_digest(_scan(spark, sf_dir, "fasta"))
+
+
+@query(f"WITH {_READS} {_DIGEST} WHERE ord % 97 <> 0 GROUP BY 1")
+def fastq_malformed_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_digest(_scan(spark, sf_dir, "bad", mode="DROPMALFORMED"))
+
+
+@query(f"WITH {_READS} {_DIGEST} GROUP BY 1")
+def fastq_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered sink, read back."""
+    path = f"{shared_root(spark)}/sink-{uuid.uuid4().hex}.fastq.gz"
+    write_fastq(derived_reads(spark, sf_dir), path)
+    return _read_digest(read_reads(spark, path))

@@ -101,7 +101,7 @@ def analyse(spark: SparkSession, reads: DataFrame, cfg: QCConfig, path: str = "r
             facts=facts.first().asDict(),
             modules=[tuple(r) for r in rules.module_status(facts).collect()],
             cards=[tuple(r) for r in rules.card_classes(facts).collect()],
-            suggestions=[(r["option"], r["value"]) for r in rules.suggestions(facts).orderBy("place").collect()],
+            suggestions=[(r["option"] + (" (strongly)" if r["level"] else ""), r["value"]) for r in rules.suggestions(facts).orderBy("place").collect()],
             charts=charts,
             top_kmers=kmers,
             overrepresented=rows(over),
