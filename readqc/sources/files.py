@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from readqc.session import written
 
@@ -185,11 +186,12 @@ def read_format(spark: SparkSession, path: str) -> str:
     return "fasta" if row is not None and row["value"].startswith(">") else "fastq"
 
 
-def read_reads(spark: SparkSession, paths: str | list[str] | tuple[str, ...], fmt: str = "auto", mode: str = "PERMISSIVE", normalised: bool = True, watch: Observation | None = None) -> DataFrame:
+def read_reads(spark: SparkSession, paths: str | list[str] | tuple[str, ...], fmt: str = "auto", mode: str = "PERMISSIVE", normalised: bool = True, watch: Observation | None = None, flagged: bool = False) -> DataFrame:
     """Reads of the files: sample (name of the file), ord (0-based number of the record in its file), id, seq, qual (null
     in FASTA). ``mode``: PERMISSIVE takes records whose header lacks ``@`` or third line ``+`` as they are, DROPMALFORMED
     leaves them out (``watch`` then observes their number as ``malformed``), FAILFAST raises an error. Sequence and quality
-    may differ in length. ``normalised`` folds case and rare letters, whatever the kind of file."""
+    may differ in length. ``normalised`` folds case and rare letters, whatever the kind of file; ``flagged`` adds whether a
+    record is malformed (bad)."""
     if mode not in ("PERMISSIVE", "DROPMALFORMED", "FAILFAST"):
         raise ValueError(f"unknown mode {mode}")
     out = None
@@ -207,4 +209,24 @@ def read_reads(spark: SparkSession, paths: str | list[str] | tuple[str, ...], fm
         wrong = F.raise_error(F.concat(F.lit("malformed record "), F.col("ord").cast("string"), F.lit(" of "), F.col("file")))
         out = out.withColumn("id", F.when(F.col("bad"), wrong).otherwise(F.col("id")))
     seq = normalise(F.col("seq")) if normalised else F.col("seq")
-    return out.select(F.element_at(F.split("file", "/"), -1).alias("sample"), "ord", "id", seq.alias("seq"), "qual")
+    return out.select(F.element_at(F.split("file", "/"), -1).alias("sample"), "ord", "id", seq.alias("seq"), "qual", *["bad"] * flagged)
+
+
+def read_mate(spark: SparkSession, path: str, strict: bool = False, most_bad: int = 5_000_000) -> tuple[DataFrame, int]:
+    """One file of a pair, written to the shared folder, and how many malformed records it has. These are left out and
+    the others numbered without them, so that mates meet by their place among good records. The numbers of malformed records
+    are broadcast; more than ``most_bad`` of them are an error."""
+    rows = written(read_reads(spark, path, mode="FAILFAST" if strict else "PERMISSIVE", flagged=True), "mate")
+    bad = rows.where("bad")
+    if not (n := bad.count()):
+        return rows.drop("bad"), 0
+    if n > most_bad:
+        raise ValueError(f"{n} malformed records in {path}: too many to pair its reads")
+    gone = spark.sparkContext.broadcast(np.sort(np.array([r["ord"] for r in bad.select("ord").toLocalIterator()], np.int64)))
+
+    @F.arrow_udf(LongType())
+    def place(ord_: pa.Array) -> pa.Array:
+        own = ord_.to_numpy()
+        return pa.array(own - np.searchsorted(gone.value, own))
+
+    return rows.where("NOT bad").drop("bad").withColumn("ord", place("ord")), n

@@ -118,6 +118,30 @@ def test_reports(spark, tmp_path):
     assert read_reads(spark, str(out / "one_trimmed.fastq.gz")).count() == 100
 
 
+def test_pairs(spark, tmp_path):
+    """A malformed record of one mate is skipped by itself; the shorter file ends the pairs; each mate gets its file."""
+    rng = random.Random(5)
+    rows = [[(f"p{i}/{m}", "".join(rng.choice("ACGT") for _ in range(50)), "I" * 50) for i in range(30)] for m in (1, 2)]
+    for name, own, broken in (("a_1.fastq", rows[0], {4, 9}), ("a_2.fastq", rows[1][:25], {0})):
+        (tmp_path / name).write_text("".join(("" if i in broken else "@") + fastq([r])[1:] for i, r in enumerate(own)))
+    out = tmp_path / "out"
+    cfg = QCConfig(paths=(str(tmp_path / "a_1.fastq"),), r2=str(tmp_path / "a_2.fastq"), output_dir=str(out), trim_output=True)
+    (one,) = report.run(spark, cfg)
+    good = [[r for i, r in enumerate(own) if i not in broken] for own, broken in ((rows[0], {4, 9}), (rows[1][:25], {0}))]
+    assert one.facts["read_count"] == 2 * 24
+    for name, own in zip(("a_1_trimmed.fastq.gz", "a_2_trimmed.fastq.gz"), good, strict=True):
+        assert [r[0] for r in rows_of(read_reads(spark, str(out / name)))] == [i for i, _, _ in own[:24]]
+    with pytest.raises(Exception, match="malformed record"):
+        report.run(spark, QCConfig(paths=cfg.paths, r2=cfg.r2, output_dir=str(out), strict=True))
+
+
+def test_malformed_records_are_left_out(spark, tmp_path, capsys):
+    (tmp_path / "a.fastq").write_text("@a\n" + "AC" * 20 + "\n+\n" + "II" * 20 + "\nb\nGT\n+\nII\n@c\n" + "gu" * 20 + "\n+\n" + "II" * 20 + "\n")
+    (one,) = report.run(spark, QCConfig(paths=(str(tmp_path / "a.fastq"),), output_dir=str(tmp_path / "out")))
+    assert one.facts["read_count"] == 2 and one.facts["gc_percent"] == 50.0
+    assert "1 malformed" in capsys.readouterr().err
+
+
 def test_options():
     cfg, args = config(["a.fq", "--poly-g", "b.fq", "--poly-x", "0", "--fast", "--adapter", "acgt", "--max-n", "3", "--cut-right"])
     assert cfg.paths == ("a.fq", "b.fq") and (cfg.poly_g, cfg.poly_x, cfg.max_n, cfg.cut_right) == (10, 10, 3, True)
