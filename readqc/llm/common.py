@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import itertools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,18 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_own_root: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _own_root:
-        _own_root.append("file://" + tempfile.mkdtemp(prefix="corpus-"))
-    return _own_root[0]
-
+from readqc.session import shared_root
 
 class Workspace:
     """Intermediate tables of one operator run, written to the shared folder, so that a lost executor loses none of

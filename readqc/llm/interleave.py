@@ -1,7 +1,7 @@
 """Sharding by proportional stratified interleaving.
 
-Rows get a seeded shuffle key (a digest of seed, id, and the text's checksum and size, so that rows which share an id, or
-have none, don't share a key). Within each source they are ranked by it; rank / size of the
+Rows get a seeded shuffle key (a digest of seed, id and the text's digest, so that rows which share an id, or have none,
+don't share a key). Within each source they are ranked by it; rank / size of the
 source is a fractional rank that spreads every source evenly over (0, 1). Sorted by it and cut into equal runs, each shard
 has each source's share but for a few rows, and shards differ by one row at most.
 
@@ -30,13 +30,15 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "mixture", rows_pe
     """
     ws = Workspace(docs.sparkSession, "interleave")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("stratum"),
+        F.md5(F.concat_ws(":", F.lit(seed), name, digest).cast("binary")).alias("key"),
     )
-    rows = ws.stage(rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), name, "text_crc32", "size").cast("binary"))), "rows")
+    rows = ws.stage(rows, "rows")
     n = rows.count()
     bins = max(1, min(max_bins, -(-n // rows_per_bin)))
     rows = rows.withColumn("bin", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * bins, 32))

@@ -435,7 +435,7 @@ _NODE = "_set_digest"
 def keep_one(docs: DataFrame, bound: int = 2_000_000) -> DataFrame:
     """One document of each group, the one with the smallest id; columns stay as they are. Only rows that are copies go,
     not others with their ids. Of rows left that repeat an id one stays, the one whose text is smallest; a row with a null
-    id stays. The ids to remove are broadcast only if they are ``bound`` at most."""
+    id stays, as does one with a null text or without words unless its id repeats. The ids to remove are broadcast only if they are ``bound`` at most."""
     groups = Workspace(docs.sparkSession, "kept").stage(_groups(docs))
     copies, others = groups.where("doc_id <> component_id"), groups.where("doc_id = component_id")
     gone = copies.select("doc_id").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readqc.llm import decontaminate, digest_cache, hnsw, interleave, jaccard_join, knn_quality, language_crf, repair, secret_scan, sentencepiece_rounds
 from readqc.llm.common import table
@@ -51,11 +52,21 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.score_quality(docs, knn_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3 that SQL can express."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def interleave_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 without the checksum, which SQL can't express."""
+    return op5_interleave(spark, sf_dir).select("doc_id", "size", "law", F.col("shard").cast("long").alias("shard"), "slot")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repair_token_files, op2_digest_cache, op3_secret_scan, op4_hnsw, op5_interleave, op6_language_crf, op7_jaccard_join,
-        op8_decontamination, op9_sentencepiece, op10_knn_quality,
+        op8_decontamination, op9_sentencepiece, op10_knn_quality, secret_counts, interleave_places,
     )
 }
 
@@ -80,6 +91,16 @@ _CONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORD
  it AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::varchar AS id FROM h) GROUP BY r)
  SELECT doc_id, len(w) AS n_words, coalesce(hw.n,0) AS n_hit, coalesce(it.n,0) AS n_items, sha256(coalesce(ids,'')) AS items_sha256, coalesce(hw.n,0) > 0 AS contaminated FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r)"""
 
+_SECRETS = r"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)(?-i)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: len(x) >= 6)) AS n_assign,
+ len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: len(x) >= 24)) AS n_hex
+ FROM (SELECT doc_id, coalesce(text,'') AS t FROM documents)"""
+
+_PLACES = """WITH r AS (SELECT doc_id, octet_length(encode(coalesce(text,'')))+1 AS size, coalesce('='||source,'') AS stratum, md5('mixture:'||coalesce(doc_id::varchar,'null')||':'||coalesce(md5(text),'')) AS key FROM documents),
+ p AS (SELECT *, ((row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id, size)-1)*2+1)::double/(count(*) OVER (PARTITION BY stratum)*2)::double AS part FROM r),
+ q AS (SELECT *, row_number() OVER (ORDER BY part, stratum, key, doc_id, size)-1 AS i, count(*) OVER () AS n FROM p),
+ e AS (SELECT *, n//16 AS small, n%16 AS longer, (n%16)*(n//16+1) AS edge FROM q)
+ SELECT doc_id, size, 'rows' AS law, CASE WHEN i < edge THEN i//(small+1) ELSE longer+(i-edge)//small END AS shard, CASE WHEN i < edge THEN i%(small+1) ELSE (i-edge)%small END AS slot FROM e"""
+
 #: The others' results (models, entropy spans, checksums, a library's ids, links of vectors in double precision) are held
 #: against brute force, libraries and held-out rows in the tests.
-ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": _JACCARD, "op8_decontamination": _CONTAMINATION}
+ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": _JACCARD, "op8_decontamination": _CONTAMINATION, "secret_counts": _SECRETS, "interleave_places": _PLACES}

@@ -4,7 +4,8 @@ A candidate is a run of 24 or more characters that keys are written in. It belon
 characters (digits, lower or upper hex, letters, letters with digits, base64). A window slides over it; the counts of its
 characters and the sum of c * log2(c) are kept up to date as one character enters and one leaves, so that the entropy
 log2(w) - sum / w costs the same for each step. Windows at or over the class's limit are merged to one span. Candidates
-on the allow-list are left alone.
+on the allow-list are left alone. Two classes have no limit: runs of 24 digits are known forms already (hex), and letters of
+one case can't be told from words glued together by the entropy of 24 of them.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 def redact_secrets(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """The documents with each secret span (overlapping ones as one) replaced by ``mark``; n_chars is set anew where a
-    text changes. All rows and columns stay. No shuffle."""
+    text changes. All rows and columns stay, null and empty texts, repeated rows and null ids as they are. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
