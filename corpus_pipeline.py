@@ -10,34 +10,36 @@ from readqc.llm.common import Workspace, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go."""
+    """Documents whose language can't be told go: null and empty texts, those without a letter, and those with less than 0.3
+    of their words in one language. Repeated rows and null ids are judged by their texts."""
     return language_crf.keep_identified(docs, language_crf.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the one with the smallest id; rows with a null id stay, as do texts
+    without words. Of rows left that repeat an id the smallest text stays."""
     return jaccard_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark items are cut out; documents that are mostly such passages go."""
+    """Passages of benchmark items are cut out; documents that are mostly such passages go. Null and empty texts stay; an
+    empty benchmark changes nothing."""
     return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark. All rows stay, null texts as they are."""
     return secret_scan.redact_secrets(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids, with their count and digests."""
+    """The documents' ids, with their count and digests. A null or empty text has none."""
     return sentencepiece_rounds.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("encoding", encoding)]
 
-#: SQL can't express the language and encoding stages. The tests hold near_duplicates against brute force, and have only
-#: examples and counts for the other stages as such.
+#: SQL can't express the language and encoding stages. The tests hold the rows of each stage against plain Python.
 ORACLE_SQL = None
 
 
