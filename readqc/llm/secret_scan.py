@@ -1,11 +1,16 @@
 """Secret scans: known forms by pattern, and unknown ones by sliding-window Shannon entropy.
 
-A candidate is a run of 24 or more characters that keys are written in. It belongs to the first class that holds all its
-characters (digits, lower or upper hex, letters, letters with digits, base64). A window slides over it; the counts of its
-characters and the sum of c * log2(c) are kept up to date as one character enters and one leaves, so that the entropy
-log2(w) - sum / w costs the same for each step. Windows at or over the class's limit are merged to one span. Candidates
-on the allow-list are left alone. Two classes have no limit: runs of 24 digits are known forms already (hex), and letters of
-one case can't be told from words glued together by the entropy of 24 of them.
+A candidate is a run of 16 or more characters that keys are written in. It belongs to the first class that holds all its
+characters (digits, lower or upper hex, letters of one case, letters with digits, base64). A window of 24 characters, of 16
+over runs of under 24, slides over it; the counts of its characters and the sum of c * log2(c) are kept up to date as one
+character enters and one leaves, so that the entropy log2(w) - sum / w costs the same for each step. Windows at or over the
+class's limit are merged to one span. Candidates on the allow-list are left alone.
+
+Where a class has no limit, entropy can't tell keys from what is written every day: runs of 24 digits or lower hex are known
+forms already, shorter ones are numbers and short checksums, and short runs of letters are words. A run of under 24 is looked
+at only if letters and digits change places in it four times. Letters of one case have the highest limit: 24 random ones
+hold 3.8 bits in the median, words glued together 3.3 to 3.6, so that about half of the random runs of 40 letters are found
+and one in fifty of glued ones.
 """
 
 from __future__ import annotations
@@ -23,29 +28,43 @@ from readqc.llm.common import lean, pieces
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as shorter ones don't count
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KINDS = ("assign", "access", "hex", "entropy")
-WINDOW = 24
-#: Class, its characters, the least entropy in bits of a window of 24 characters (of 4.58 possible); None: never a secret.
+WINDOW, SHORT = 24, 16
+#: Class, its characters, the least entropy in bits of a window of 24 characters (of 4.58 possible) and of 16 in
+#: shorter runs (of 4); None: never a secret.
 CLASSES = (
-    ("digits", re.compile(r"[0-9]+"), None),
-    ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 2.9),
-    ("letters", re.compile(r"[a-z]+|[A-Z]?[a-z]+|[A-Z]+"), None),
-    ("alphanumeric", re.compile(r"[A-Za-z0-9]+"), 3.7),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9),
+    ("digits", re.compile(r"[0-9]+"), None, None),
+    ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 2.9, None),
+    ("letters", re.compile(r"[a-z]+|[A-Z]?[a-z]+|[A-Z]+"), 4.0, None),
+    ("alphanumeric", re.compile(r"[A-Za-z0-9]+"), 3.7, 3.5),
+    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9, 3.5),
 )
 #: What is no secret though it looks like one.
 ALLOWED = (
     re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),  # UUID
-    re.compile(r"(?i).*example.*"),
+    re.compile(r"(?i).*([a-z0-9+]example|example[a-z0-9+]).*"),  # written into the key; a name between signs says nothing of the rest
     re.compile(r"(?i)sha(1|224|256|384|512)-.*"),
-    re.compile(r"[A-Za-z]+([_/=-]+[A-Za-z]+)*[_/=-]*"),  # words joined by signs
     re.compile(r"(.{1,12}?)\1+.{0,11}"),  # a short string again and again
     re.compile(r"(?i)(0123456789|abcdefghijklmnopqrstuvwxyz|[+/])+"),
 )
+SIGNS = re.compile(r"[_/=-]+")
+MIXED = re.compile(r"(?:.*?(?:[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z]))){4}")
 _XLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
+def worded(run: str) -> bool:
+    """Words and numbers joined by signs: each part is digits alone (under 16), or letters alone that are few (under 16), of one
+    case and under 24, or with three capitals in ten at most, as names made of words have."""
+
+    def word(part: str) -> bool:
+        capitals = sum(c <= "Z" for c in part)
+        few = len(part) < 16 or (len(part) < WINDOW and (capitals == len(part) or part[1:].islower()))
+        return (part.isdigit() and len(part) < 16) or (part.isalpha() and (few or (not part[1:].islower() and 10 * capitals <= 3 * len(part))))
+
+    return all(word(part) for part in SIGNS.split(run) if part)
+
+
 def entropy_spans(text: str, limit: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Merged ranges of the windows whose entropy in bits is at least ``limit``."""
     counts: dict[str, int] = {}
@@ -82,10 +101,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     out = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        limit = next(x for _, form, x in CLASSES if form.fullmatch(run))
-        if limit is None or any(form.fullmatch(run) for form in ALLOWED):
+        short = len(run) < WINDOW
+        limit = next(x[2 + short] for x in CLASSES if x[1].fullmatch(run))
+        if limit is None or (short and not MIXED.match(run)) or worded(run) or any(form.fullmatch(run) for form in ALLOWED):
             continue
-        for a, b in entropy_spans(run, limit):
+        for a, b in entropy_spans(run, limit, SHORT if short else WINDOW):
             a, b = a + m.start(), b + m.start()
             if not any(s <= a and b <= e for s, _, e in base):
                 out.append((a, 3, b))

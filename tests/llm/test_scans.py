@@ -1,9 +1,11 @@
 """Secrets, decontamination, sharding, language, quality."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -52,22 +54,41 @@ def test_added_and_allowed():
     assert secret_scan.redact("a token=abcdefgh b", secret_scan.scan("a token=abcdefgh b")[1], "#") == "a # b"
 
 
+def words_by_hand(run):
+    """Parts between signs, letter by letter."""
+    for part in re.findall("[^_/=-]+", run):
+        upper, lower, digits = (sum(c in letters for c in part) for letters in (string.ascii_uppercase, string.ascii_lowercase, string.digits))
+        one_case = lower + digits + upper == len(part) and digits == 0 and (upper == 0 or lower == 0 or (upper == 1 and part[0] in string.ascii_uppercase))
+        if digits == len(part) < 16 or upper + lower == len(part) < 16 or (one_case and len(part) < 24):
+            continue
+        if upper + lower < len(part) or one_case or upper / len(part) > 0.3:
+            return False
+    return True
+
+
 def spans_by_hand(text):
-    """Known forms, and windows of 24 characters whose entropy, counted anew for each, is at or over the limit of the
-    narrowest class that holds the run, if it isn't on the allow-list and no known form covers them."""
+    """Known forms, and windows of 24 characters (16 in shorter runs) whose entropy, counted anew for each, is at or over the
+    limit of the narrowest class that holds the run, if it isn't on the allow-list and no known form covers them."""
     base, out = base_by_hand(text), []
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{24,}", text):
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
         run = m[0]
-        if re.fullmatch(r"\d+|[a-z]+|[A-Z]?[a-z]+|[A-Z]+", run) and not re.fullmatch("[0-9a-f]*[a-f][0-9a-f]*|[A-F]+", run):
+        size = 24 if len(run) >= 24 else 16
+        if run.isdigit():
             continue
-        limit = None if run.isdigit() else 2.9 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) else 3.7 if run.isalnum() else 3.9
-        if limit is None or any(form.fullmatch(run) for form in secret_scan.ALLOWED):
+        if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run):
+            limit = 2.9 if size == 24 else 9
+        elif re.fullmatch("[a-z]+|[A-Z]?[a-z]+|[A-Z]+", run):
+            limit = 4.0 if size == 24 else 9
+        else:
+            limit = 3.5 if size == 16 else 3.7 if run.isalnum() else 3.9
+        changes = sum(a.isalnum() and b.isalnum() and a.isdigit() != b.isdigit() for a, b in itertools.pairwise(run))
+        if (size == 16 and changes < 4) or words_by_hand(run) or any(form.fullmatch(run) for form in secret_scan.ALLOWED):
             continue
         hit = set()
-        for i in range(len(run) - 23):
-            counts = Counter(run[i : i + 24])
-            if -sum(n / 24 * math.log2(n / 24) for n in counts.values()) >= limit - 1e-9:
-                hit |= set(range(m.start() + i, m.start() + i + 24))
+        for i in range(len(run) - size + 1):
+            counts = Counter(run[i : i + size])
+            if -sum(n / size * math.log2(n / size) for n in counts.values()) >= limit - 1e-9:
+                hit |= set(range(m.start() + i, m.start() + i + size))
         for a in sorted(x for x in hit if x - 1 not in hit):
             b = a
             while b in hit:
@@ -77,9 +98,28 @@ def spans_by_hand(text):
     return base, sorted(base + out)
 
 
+def test_classes_and_words():
+    """Keys of each class that has a limit are found, also short ones and ones without a digit; names, paths, numbers and
+    checksums are left alone."""
+
+    def found(text):
+        return [(a, b) for a, k, b in secret_scan.scan(text)[1] if k == 3]
+
+    for key in ("Zq3vT8nLw2Kp5xRb", "k7fq2m9xw4zt8bvc1", "hVbQzTnLwKdPxRjGmYcSaFuE", "qzjxkvbwpymfgcdhtlnrsoieuaqz", "docs/example/9fKq2LmX7vTz4BnR8wYc1HpD", "F03A91C7B25E8D640F9C3A7E"):
+        text = f"the value {key} here"
+        assert found(text), key
+    for text in (
+        "transformer2023model", "9807915762804490", "deadbeef01234567", "anthrererendanhe", "Einungtzheitgeungverlich", "average_phred_quality_by_position_and_tile",
+        "2024/section-12/notes-on-many-things", "aVeryLongCamelCaseNameOfSomething", "MAX_NUMBER_OF_RETRIES_PER_REQUEST", "2024-01-15T10-30-00", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+    ):
+        assert not found(text), text
+
+
 def test_op3_rows(spark, odd, odd_rows, none, sf_dir):
     rng = random.Random(20)
-    keys = ["".join(rng.choice(letters) for _ in range(rng.randint(20, 70))) for letters in ("0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJabcdefghij+/=_-0123456789", "aab1", "0123456789") for _ in range(60)]
+    keys = ["".join(rng.choice(letters) for _ in range(rng.randint(20, 70))) for letters in ("0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJabcdefghij+/=_-0123456789", "aab1", "0123456789", string.ascii_letters, string.ascii_lowercase, string.ascii_letters + "0123456789", "abcdefghijklmnop-/_", "Abcdefghijklmnopq12-/") for _ in range(60)]
+    keys += [f"{rng.choice(('docs/example/', 'example', 'my_'))}{k}" for k in keys[::3]]
+    keys += [k[: rng.randint(12, 24)] for k in keys[::2]]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     rows = [(r[0], r[1]) for r in odd_rows] + [(r.doc_id, r.text) for r in docs] + [(-i, f"{prose(rng, 5)} {rng.choice(('', 'token=', 'key '))}{k}, {k[:23]}") for i, k in enumerate(keys, 1)]
     want, found = Counter(), 0
@@ -88,7 +128,7 @@ def test_op3_rows(spark, odd, odd_rows, none, sf_dir):
         found += len(every) - len(base)
         said = [",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in x) for x in (base, every)]
         want[name, *(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(said[0].encode()).hexdigest(), said[1]] += 1
-    assert found > 100
+    assert found > 300
     assert Counter(map(tuple, secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
     assert secret_scan.find_secrets(none).count() == 0 and secret_scan.redact_secrets(none).count() == 0
     kept = secret_scan.redact_secrets(odd)
