@@ -7,6 +7,7 @@ tiles, the top twenty). The trimmed reads are persisted for the run, so that fil
 from __future__ import annotations
 
 import json
+import math
 import sys
 import time
 from dataclasses import dataclass, field
@@ -26,6 +27,7 @@ from readqc.sources.files import read_mate, read_reads
 from readqc.sources.sinks import stem, trimmed_name, write_fastq
 
 TOOL, VERSION = "readqc", "1.0.0"
+_MODULES = (("kmer", "4-mers"), ("duplication", "duplication"), ("per_tile", "quality by tile"), ("overrepresented", "overrepresented sequences"), ("adapter", "adapters"))
 
 
 @dataclass
@@ -44,6 +46,8 @@ class FileReport:
     trim_output: str | None = None
     top_kmers: list = field(default_factory=list)
     overrepresented: list = field(default_factory=list)
+    gc_expected: list = field(default_factory=list)
+    skipped: list[str] = field(default_factory=list)
 
     @property
     def name(self) -> str:
@@ -105,6 +109,8 @@ def analyse(spark: SparkSession, reads: DataFrame, cfg: QCConfig, path: str = "r
             charts=charts,
             top_kmers=kmers,
             overrepresented=rows(over),
+            gc_expected=[r[2] for r in rows(M.gc_overlay(gc), "gc")],
+            skipped=[name for option, name in _MODULES if not getattr(on, option)],
         )
         if cfg.trim_output:
             stats = M.trim_stats(trimmed).first()
@@ -218,22 +224,50 @@ def console(r: FileReport) -> str:
 
 _STYLE = """body{font:14px system-ui,sans-serif;margin:2em auto;max-width:70em;color:#1f2937}h1,h2{font-weight:600}table{border-collapse:collapse;margin:1em 0}
 td,th{border:1px solid #d1d5db;padding:4px 10px;text-align:right}td:first-child,th:first-child{text-align:left}.pass{color:#15803d}.warn{color:#b45309}.fail{color:#b91c1c}
-.cards{display:flex;flex-wrap:wrap;gap:12px}.card{border:1px solid #d1d5db;border-radius:6px;padding:8px 14px}.card b{display:block;font-size:1.3em}figure{display:inline-block;margin:8px}figcaption{color:#6b7280}"""
+.cards{display:flex;flex-wrap:wrap;gap:12px}.card{border:1px solid #d1d5db;border-radius:6px;padding:8px 14px}.card b{display:block;font-size:1.3em}figure{display:inline-block;margin:8px}figcaption{color:#6b7280}
+svg text{font:11px system-ui,sans-serif}.axis{stroke:#6b7280}.grid{stroke:#e5e7eb}.none{color:#6b7280}"""
 
 
-def _line(values: list[list[float]], title: str, width: int = 440, height: int = 150) -> str:
-    """Lines over their index as inline SVG."""
-    values = [v for v in values if v]
-    if not values:
+_COLOURS = ("#2563eb", "#dc2626", "#16a34a", "#9333ea", "#6b7280")
+
+
+def _ticks(low: float, high: float, about: int = 5) -> list[float]:
+    """Round numbers from ``low`` to ``high``, in steps of 1, 2 or 5 times a power of ten."""
+    if not high > low:
+        return [low]
+    rough = (high - low) / about
+    power = 10.0 ** math.floor(math.log10(rough))
+    step = next(k * power for k in (1, 2, 5, 10) if k * power >= rough * (1 - 1e-9))
+    return [i * step for i in range(math.ceil(low / step - 1e-9), math.floor(high / step + 1e-9) + 1)]
+
+
+def _chart(title: str, across: str, series: dict[str, list[float]], x: list[float] | None = None, labels: list[str] | None = None, points: bool = False, width: int = 460, height: int = 210) -> str:
+    """Lines (or points) with axes as inline SVG; nothing without values. ``x`` are the places of the values (from 0 by
+    default), ``labels`` what stands at them instead of numbers."""
+    series = {name: v for name, v in series.items() if v}
+    if not series:
         return ""
-    top = max(max(v) for v in values) or 1
-    colours = ("#2563eb", "#dc2626", "#16a34a", "#9333ea", "#6b7280")
-    lines = []
-    for colour, v in zip(colours, values, strict=False):
-        step = width / max(1, len(v) - 1)
-        points = " ".join(f"{i * step:.1f},{height - height * y / top:.1f}" for i, y in enumerate(v))
-        lines.append(f'<polyline fill="none" stroke="{colour}" stroke-width="1.5" points="{points}"/>')
-    return f'<figure><svg width="{width}" height="{height}" viewBox="0 0 {width} {height}">{"".join(lines)}</svg><figcaption>{X.escape(title)} (highest {top:.4g})</figcaption></figure>'
+    x = x or list(range(max(map(len, series.values()))))
+    low, high, top = min(x), max(x), max(max(v) for v in series.values()) or 1
+    left, right, over, under = 58, 10, 22, 38
+    across_of = lambda a: left + (width - left - right) * ((a - low) / (high - low) if high > low else 0.5)
+    up_of = lambda b: height - under - (height - over - under) * b / top
+    out = [f'<line class="axis" x1="{left}" y1="{height - under}" x2="{width - right}" y2="{height - under}"/>']
+    for t in _ticks(0, top, 4):
+        out.append(f'<line class="grid" x1="{left}" y1="{up_of(t):.1f}" x2="{width - right}" y2="{up_of(t):.1f}"/><text x="{left - 5}" y="{up_of(t) + 4:.1f}" text-anchor="end">{t:,.6g}</text>')
+    marks = list(zip(x, labels, strict=True)) if labels else [(t, f"{t:,.6g}") for t in _ticks(low, high)]
+    out += [f'<text x="{across_of(a):.1f}" y="{height - under + 14}" text-anchor="middle">{X.escape(name)}</text>' for a, name in marks]
+    out.append(f'<text x="{(left + width - right) / 2:.1f}" y="{height - 6}" text-anchor="middle">{X.escape(across)}</text>')
+    for k, (name, v) in enumerate(series.items()):
+        colour = _COLOURS[k % len(_COLOURS)]
+        places = [(f"{across_of(a):.1f}", f"{up_of(b):.1f}") for a, b in zip(x, v, strict=False)]
+        if points or len(places) == 1:
+            out += [f'<circle cx="{a}" cy="{b}" r="2" fill="{colour}"/>' for a, b in places]
+        else:
+            out.append(f'<polyline fill="none" stroke="{colour}" stroke-width="1.5" points="{" ".join(f"{a},{b}" for a, b in places)}"/>')
+        if len(series) > 1:
+            out.append(f'<text x="{left + 90 * k}" y="12" fill="{colour}">{X.escape(name)}</text>')
+    return f'<figure><svg width="{width}" height="{height}" viewBox="0 0 {width} {height}" role="img" aria-label="{X.escape(title)}">{"".join(out)}</svg><figcaption>{X.escape(title)}</figcaption></figure>'
 
 
 def _table(head: tuple[str, ...], rows: list) -> str:
@@ -249,17 +283,23 @@ def _section(r: FileReport) -> str:
     parts = [f"<h2>{X.escape(r.name)}</h2><div class=cards>" + "".join(f'<div class=card>{X.escape(a)}<b class="{k}">{X.escape(b)}</b></div>' for a, b, k in cards) + f"</div><ul>{status}</ul>"]
     if r.suggestions:
         parts.append("<p>Worth trying:</p><ul>" + "".join(f"<li><code>{X.escape(o)}</code> ({v:.1f})</li>" for o, v in r.suggestions) + "</ul>")
+    if r.skipped:
+        parts.append(f"<p class=none>Switched off and not computed: {X.escape(', '.join(r.skipped))}.</p>")
     quartiles = [list(x) for x in zip(*c["qual_pct"], strict=True)]
+    columns = lambda pairs: {"x": [a for a, _ in pairs]}
+    values = lambda name, pairs: {name: [b for _, b in pairs]}
     parts += [
-        _line([c["qual"], *quartiles], "Quality by position: mean, quartiles"),
-        _line([list(x) for x in zip(*c["basecomp"], strict=True)], "Bases by position, %: A, C, G, T, other"),
-        _line([c["qualdist"]], "Reads by mean quality"),
-        _line([c["gc_dist"]], "Reads by GC %"),
-        _line([[n for _, n in c["len"]]], "Reads by length"),
-        _line([[p for _, p in c["dup_hist"]]], "Duplication levels, %"),
-        _line([[n for _, n in c["rot"]]], "Reads over time"),
-        _line([[n for _, n in c["chann"]]], "Reads by channel"),
-        _line([[q for _, q in c["tiles"]]], "Quality by tile"),
+        _chart("Quality by position", "position", {"mean": c["qual"]} | dict(zip(("lower quartile", "median", "upper quartile"), quartiles, strict=False))),
+        _chart("Bases by position, %", "position", dict(zip("ACGT", [list(x) for x in zip(*c["basecomp"], strict=True)], strict=False))),
+        _chart("Bases that are none of A, C, G, T by position, %", "position", {"other": c["n_content"]}),
+        _chart("Reads by mean quality", "mean quality", {"reads": c["qualdist"]}),
+        _chart("Reads by GC share", "GC, %", {"reads": c["gc_dist"], "normal": r.gc_expected}),
+        _chart("Reads by length", "length", values("reads", c["len"]), **columns(c["len"])),
+        _chart("Distinct sequences by duplication level, %", "copies", values("share", c["dup_hist"]), labels=[name for name, _ in c["dup_hist"]]) if c["dup_hist"] and "duplication" not in r.skipped else "",
+        _chart("Quality by tile", "tile", values("mean quality", c["tiles"]), **columns(c["tiles"])),
+        _chart("Mean quality by length of a sample of reads", "length", values("reads", c["qvl"]), **columns(c["qvl"]), points=True),
+        _chart("Reads over time", "minutes", values("reads", c["rot"]), **columns(c["rot"])),
+        _chart("Reads by channel", "channel", values("reads", c["chann"]), **columns(c["chann"]), points=True),
     ]
     if r.top_kmers:
         parts.append(_table(("4-mer", "Count"), r.top_kmers))
@@ -283,7 +323,8 @@ def to_comparison(a: FileReport, b: FileReport) -> str:
         x, y = a.facts[metric], b.facts[metric]
         rows.append((metric, x, y, X.percent_delta(x, y) + "%" if metric.endswith("percent") else X.delta(x, y)))
     mixed = "<p class=warn>One file has long reads, the other short ones: limits differ.</p>" if a.facts["long_read"] != b.facts["long_read"] else ""
-    charts = _line([a.charts["qual"], b.charts["qual"]], "Quality by position") + _line([a.charts["gc_dist"], b.charts["gc_dist"]], "Reads by GC %")
+    names = (a.name, b.name) if a.name != b.name else (a.path, b.path)
+    charts = _chart("Quality by position", "position", dict(zip(names, (a.charts["qual"], b.charts["qual"]), strict=True))) + _chart("Reads by GC share", "GC, %", dict(zip(names, (a.charts["gc_dist"], b.charts["gc_dist"]), strict=True)))
     return f'<!doctype html><meta charset="utf-8"><title>{TOOL}</title><style>{_STYLE}</style><h1>{X.escape(a.name)} and {X.escape(b.name)}</h1>{mixed}{_table(("Metric", a.name, b.name, "Δ"), rows)}{charts}'
 
 

@@ -116,6 +116,24 @@ def test_reports(spark, tmp_path):
     assert set(reports[0].charts) == {"qual", "qual_pct", "len", "kmers", "tiles", "basecomp", "qualdist", "gc_dist", "dup_hist", "n_content", "qvl", "rot", "chann", "long_read"}
     assert "Illumina tiles:  3" in report.console(reports[0])
     assert read_reads(spark, str(out / "one_trimmed.fastq.gz")).count() == 100
+    html = (out / "batch_report_report.html").read_text()
+    for title in ("Quality by position", "Reads by GC share", "Reads by length", "Quality by tile"):
+        assert f'aria-label="{title}"' in html
+    assert ">normal</text>" in html and ">1,102</text>" in html and "Switched off" not in html
+    assert len(reports[0].gc_expected) == 101 and abs(sum(reports[0].gc_expected) - 100) < 1
+    (fast,) = report.run(spark, QCConfig(paths=cfg.paths[:1], output_dir=str(out), modules=Modules.fast()))
+    html = (out / "one_report.html").read_text()
+    assert fast.skipped == ["4-mers", "duplication", "quality by tile", "overrepresented sequences"]
+    assert "Switched off and not computed: 4-mers, duplication, quality by tile, overrepresented sequences." in html and "duplication level" not in html
+
+
+def test_charts():
+    """Axes have round numbers, values stand at their places, and odd series don't break a chart."""
+    assert report._ticks(0, 97, 4) == [0, 50] and report._ticks(3, 21) == [5, 10, 15, 20] and report._ticks(7, 7) == [7]
+    one = report._chart("a < b", "x", {"y": [0.0, 5.0, 10.0]}, x=[100, 150, 200])
+    assert 'points="58.0,172.0 254.0,97.0 450.0,22.0"' in one and "a &lt; b" in one and ">160</text>" in one and ">10</text>" in one
+    assert report._chart("none", "x", {"y": []}) == ""
+    assert "<circle" in report._chart("single", "x", {"y": [0]}) and ">two</text>" in report._chart("named", "x", {"y": [1, 2]}, labels=["one", "two"])
 
 
 def test_pairs(spark, tmp_path):
