@@ -23,6 +23,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = itertools.count()
+        self._held: list[DataFrame] = []
 
     def stage(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and read it back."""
@@ -30,6 +31,7 @@ class Workspace:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_at = path
+        self._held.append(out)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -38,6 +40,11 @@ class Workspace:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
             path.getFileSystem(conf).delete(path, True)
+        self._held = [df for df in self._held if all(df is not x for x in frames)]
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Delete all staged tables but these."""
+        self.drop(*[df for df in self._held if all(df is not x for x in frames)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -346,6 +346,7 @@ def _over(docs: DataFrame, benchmark: DataFrame, window: int, max_words: int, pa
     for other in found[1:]:
         finds = finds.union(other)
     finds = ws.stage(finds.groupBy(_MD5).agg(F.collect_list(F.struct("spans", "items")).alias(_FINDS)), "all")
+    ws.keep_only(finds)
     names = docs.columns
     joined = docs.withColumn(_MD5, digest).join(finds, _MD5, "left").select(*names, _FINDS)
 

@@ -395,6 +395,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ("dim", "shard", "block")
     found = ws.stage(queries.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(search, "u long, v long, n long"), "found")
+    ws.drop(graphs)
     counts = found.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     comps = connected_components(found.where("v IS NOT NULL").select("u", "v"), ws)
     per_node = nodes.select("node", "copies").join(counts, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))

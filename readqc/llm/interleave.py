@@ -38,7 +38,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "mixture", rows_pe
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("stratum"),
         F.md5(F.concat_ws(":", F.lit(seed), name, digest).cast("binary")).alias("key"),
     )
-    rows = ws.stage(rows, "rows")
+    rows = written = ws.stage(rows, "rows")
     n = rows.count()
     bins = max(1, min(max_bins, -(-n // rows_per_bin)))
     rows = rows.withColumn("bin", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * bins, 32))
@@ -50,6 +50,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = "mixture", rows_pe
     ranked = rows.withColumn("r", F.row_number().over(in_bin) - 1).join(counts, ["stratum", "bin"])
     ranked = ranked.withColumn("part", ((F.col("base") + F.col("r")) * 2 + 1).cast("double") / (F.col("total") * 2).cast("double"))
     ranked = ws.stage(ranked.select("doc_id", "size", "text_crc32", "stratum", "key", "part", F.floor(F.col("part") * bins).alias("bin")), "ranked")
+    ws.drop(written)
 
     counts = ranked.groupBy("bin").agg(F.count("*").alias("c"))
     counts = counts.select("bin", F.coalesce(F.sum("c").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

@@ -371,9 +371,9 @@ def similar(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64) ->
     return _groups(docs, max_rounds, pairs_per_entry).drop("node")
 
 
-def _groups(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64) -> DataFrame:
-    """As ``similar``, with each row's set digest (node)."""
-    ws = Workspace(docs.sparkSession, "jaccard")
+def _groups(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64, ws: Workspace | None = None) -> DataFrame:
+    """As ``similar``, with each row's set digest (node). What the result reads stays in the workspace."""
+    ws = ws or Workspace(docs.sparkSession, "jaccard")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     meta = ws.stage(docs.mapInArrow(lambda batches: lean(_describe(batches)), "doc_id long, node long, n long"), "nodes")
@@ -423,6 +423,7 @@ def _groups(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64) ->
     if links is None:
         links = spark.createDataFrame([], "u long, v long")
     comps = ws.stage(connected_components(links, ws), "components")
+    ws.keep_only(meta, homes, comps)
     grouped = homes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("home").alias("component_id"))
     ids = grouped.join(least, "component").select("node", "component_id")
@@ -436,7 +437,9 @@ def keep_one(docs: DataFrame, bound: int = 2_000_000) -> DataFrame:
     """One document of each group, the one with the smallest id; columns stay as they are. Only rows that are copies go,
     not others with their ids. Of rows left that repeat an id one stays, the one whose text is smallest; a row with a null
     id stays, as does one with a null text or without words unless its id repeats. The ids to remove are broadcast only if they are ``bound`` at most."""
-    groups = Workspace(docs.sparkSession, "kept").stage(_groups(docs))
+    ws = Workspace(docs.sparkSession, "jaccard")
+    groups = ws.stage(_groups(docs, ws=ws), "groups")
+    ws.keep_only(groups)
     copies, others = groups.where("doc_id <> component_id"), groups.where("doc_id = component_id")
     gone = copies.select("doc_id").distinct()
     kept = docs.join(F.broadcast(gone) if gone.count() <= bound else gone, "doc_id", "left_anti")

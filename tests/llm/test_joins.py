@@ -2,6 +2,7 @@
 
 import random
 import re
+import shutil
 import tracemalloc
 from collections import Counter
 
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from readqc.llm import hnsw, jaccard_join, language_crf, queries
+from readqc.llm import hnsw, interleave, jaccard_join, language_crf, queries
 from readqc.llm.common import Workspace
 from readqc.llm.components import connected_components
 from tests.llm.conftest import SCHEMA, prose, row
@@ -376,6 +377,26 @@ def test_pipeline_by_hand(spark, sf_dir, odd_rows):
     assert Counter((r.doc_id, tuple(r.ids)) for r in out) == Counter((r[0], tuple(sp.encode(r[1]))) for r in want)
 
 
+def test_staged_tables_go(spark, sf_dir, tmp_path, monkeypatch):
+    """Only what the result reads stays in the shared folder."""
+    monkeypatch.setattr("readqc.llm.common.shared_root", lambda spark: f"file://{tmp_path}")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+    def left():
+        return sorted(p.name.split("-")[0] for p in tmp_path.glob("*/*"))
+
+    want = Counter(map(tuple, jaccard_join.similar(docs).collect()))
+    assert left() == ["components", "homes", "nodes"] and len(want) == docs.count()
+    shutil.rmtree(next(tmp_path.glob("jaccard-*")))
+    kept = jaccard_join.keep_one(docs)
+    assert left() == ["groups"] and kept.count() == len({r[2] for r in want})
+    shutil.rmtree(next(tmp_path.glob("jaccard-*")))
+    assert interleave.interleave(docs).count() == docs.count() and left() == ["ranked"]
+    shutil.rmtree(next(tmp_path.glob("interleave-*")))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    assert hnsw.near_duplicates(vectors).count() == vectors.count() and "graphs" not in left()
+
+
 def test_pipeline_runs_its_stages(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
