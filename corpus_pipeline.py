@@ -44,8 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written as Parquet to the shared folder and read again."""
+    """All stages over the documents, each written as Parquet to the shared folder and read again; what the stage after has
+    read is deleted."""
     ws, docs = Workspace(spark, "pipeline"), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = ws.stage(stage(spark, docs, sf_dir), name)
+        ws.keep_only(docs)
     return docs
