@@ -25,10 +25,10 @@ class Workspace:
         self._n = itertools.count()
         self._held: list[DataFrame] = []
 
-    def stage(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` and read it back."""
+    def stage(self, df: DataFrame, name: str = "t", **options) -> DataFrame:
+        """Write ``df`` (with the writer's ``options``) and read it back."""
         path = f"{self.path}/{name}-{next(self._n)}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_at = path
         self._held.append(out)

@@ -2,8 +2,8 @@
 
 Equal vectors become one node. Nodes are dealt into shards of bounded size by a hash, and each shard gets a hierarchical
 navigable small-world graph: layers of geometrically falling size, each node linked to near and mutually distant others.
-Every node is then searched for in every shard, by blocks of queries: a descent through the upper layers, and a beam in
-the lowest. A query whose beam holds nothing but links is in a dense group and compared with all nodes of the shard, in
+Of each two shards the nodes of one are then searched for in the other, and those of each shard in itself, by blocks of
+queries: a descent through the upper layers, and a beam in the lowest. Graphs travel in small parts, and queries stream behind them, so that no row and no group is large. A query whose beam holds nothing but links is in a dense group and compared with all nodes of the shard, in
 tiles. Of the others in a block, the links of a sample are counted exactly; while its queries find on average too small a
 share of their own links, all beams are widened. Cosines of what was found are verified in double precision. A block
 returns the number of links of each query, and a spanning forest of the links, from which the components are joined; pairs
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readqc.llm.common import Workspace
+from readqc.llm.common import Workspace, lean
 from readqc.llm.components import connected_components
 
 NEAR = 0.9
 _SLACK = 1e-4  # single-precision cosines may be off by less
+_PART = 1 << 16  # bytes of a graph in one row
 
 
 class Graph:
@@ -250,11 +251,13 @@ class Graph:
 
 class Links:
     """How many links each query of a block has, and which nodes and queries are connected. No pairs are kept: what is
-    held grows with the nodes and queries, not with the links of a dense group."""
+    held grows with the nodes and queries, not with the links of a dense group. ``back`` has the links of nodes to queries
+    that aren't nodes, each as many as ``weights`` says."""
 
-    def __init__(self, vectors: np.ndarray, copies: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float):
+    def __init__(self, vectors: np.ndarray, copies: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float, weights: np.ndarray | None = None):
         self.vectors, self.copies, self.queries, self.own, self.least = vectors, copies, queries, own, least
-        self.counts = np.zeros(len(queries), np.int64)
+        self.counts, self.back = np.zeros(len(queries), np.int64), np.zeros(len(vectors), np.int64)
+        self.weights = np.where(own < 0, np.ones(len(queries), np.int64) if weights is None else weights, 0)
         # Nodes by their place, then the queries that aren't nodes.
         self.place = np.where(own >= 0, own, len(vectors) + np.arange(len(queries)))
         self.root = np.arange(len(vectors) + len(queries))
@@ -285,6 +288,7 @@ class Links:
             a, b = q[i : i + at_once], n[i : i + at_once]
             ok = (np.einsum("ed,ed->e", self.queries[a], self.vectors[b]) >= self.least) & (self.own[a] != b)
             np.add.at(self.counts, a[ok], self.copies[b[ok]])
+            np.add.at(self.back, b[ok], self.weights[a[ok]])
             self.unite(self.place[a[ok]], b[ok])
 
     def compare(self, queries: np.ndarray, rows: int = 256, columns: int = 8192) -> None:
@@ -303,6 +307,7 @@ class Links:
                 inside = np.flatnonzero((self.own[q] >= k) & (self.own[q] < k + near.shape[1]))
                 near[inside, self.own[q[inside]] - k] = False
                 self.counts[q] += near @ self.copies[k : k + columns]
+                self.back[k : k + columns] += self.weights[q] @ near
                 self._connect(near, self.place[q], np.arange(k, k + near.shape[1]))
 
     def _connect(self, near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
@@ -337,64 +342,117 @@ def _matrix(column) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = NEAR, least_shards: int = 4, shard_size: int = 50_000, block: int = 16_384, shard_bytes: int = 64 << 20) -> DataFrame:
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[bytes | None, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows in the order of (dim, shard, slot, part): a group's graph and up to ``block`` of its queries at a time, as
+    names, copies and vectors. A graph stands in front of its queries in parts; it comes with the first of their blocks, and None with
+    the others. Queries without a graph, and graphs without queries, are left out."""
+    at, parts, graph, queries, held = None, [], None, [], 0
+
+    def some() -> tuple[bytes | None, np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal graph, queries, held
+        names, copies, vectors = (pa.concat_arrays([q.column(k) for q in queries]) for k in ("node", "copies", "v"))
+        out = graph, names.to_numpy(), copies.to_numpy(), _matrix(vectors)
+        graph, queries, held = None, [], 0
+        return out
+
+    for batch in batches:
+        key = np.stack([batch.column(k).to_numpy() for k in ("dim", "shard", "slot")])
+        edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        for start, end in zip(np.r_[0, edges].tolist(), np.r_[edges, batch.num_rows].tolist(), strict=True):
+            if end == start:
+                continue
+            if (group := tuple(key[:, start])) != at:
+                if held:
+                    yield some()
+                at, parts, graph, there = group, [], None, False
+            rows = batch.slice(start, end - start)
+            first = rows.num_rows - rows.column("part").null_count
+            parts += rows.column("graph").slice(0, first).to_pylist()
+            if first == rows.num_rows:
+                continue
+            if parts:
+                graph, parts, there = b"".join(parts), [], True
+            while there and first < rows.num_rows:
+                n = min(block - held, rows.num_rows - first)
+                queries.append(rows.slice(first, n))
+                first, held = first + n, held + n
+                if held == block:
+                    yield some()
+    if held:
+        yield some()
+
+
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = NEAR, least_shards: int = 4, shard_size: int = 50_000, block: int = 16_384, shard_bytes: int = 64 << 20, slot_size: int = 131_072, least_tasks: int = 32) -> DataFrame:
     """Links of cosine ``least`` or more among all vectors, and their components.
 
     One row for each row of ``rows``: the id, n_links (other rows linked directly), component_id (smallest id reachable),
     kept (id = component_id). A vector that is null, empty or zero, or holds a null or non-finite component, links with
     nothing and is its own component; vectors of different length don't link. A shard has at most about ``shard_size`` vectors
-    and ``shard_bytes`` of them in double precision. Rows that repeat a vector link with one
-    another, repeated ids among them. A null id isn't kept, and is no component's id beside another. Other columns are
-    not read. Equal vectors are told by a 64-bit hash.
+    and ``shard_bytes`` of them in double precision. A task gets a shard's graph in parts of 64 KB and then some of its queries, those
+    of about ``slot_size`` nodes, fewer if there would be under ``least_tasks`` tasks, and holds ``block`` queries at a time. Rows that repeat a
+    vector link with one another, repeated ids among them. A null id isn't kept, and is no component's id beside another. Other
+    columns are not read. Equal vectors are told by a 64-bit hash.
     """
     ws = Workspace(rows.sparkSession, "hnsw")
     v = F.col(vector_col)
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    marked = rows.select(F.col(id_col).alias("id"), F.coalesce(fine, F.lit(False)).alias("fine"), v.cast("array<double>").alias("v"))
-    marked = marked.select("id", F.when(F.col("fine"), F.xxhash64("v")).alias("node"), "v")
+    kind = "array<float>" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    marked = rows.select(F.col(id_col).alias("id"), F.coalesce(fine, F.lit(False)).alias("fine"), v.cast(kind).alias("v"))
+    marked = marked.select("id", F.when(F.col("fine"), F.xxhash64(F.col("v").cast("array<double>"))).alias("node"), "v")
     ids = ws.stage(marked.select("id", "node"), "ids")
     nodes = marked.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.any_value("v").alias("v"))
     nodes = ws.stage(nodes.withColumn("dim", F.size("v")), "nodes")
     n, dim = nodes.agg(F.count("*"), F.max("dim")).first()
     most = max(1, shard_bytes // (8 * (dim or 1)))  # long vectors: smaller shards and blocks
     shards, blocks = max(least_shards, -(-n // min(shard_size, most))), max(1, -(-n // min(block, most)))
+    slots = max(-(-n // slot_size), min(blocks, -(-least_tasks // shards)))
     deal = F.pmod(F.xxhash64("node", F.lit("shard")), F.lit(shards)).cast("int")
 
     def build(table: pa.Table) -> pa.Table:
         order = np.argsort(table["node"].to_numpy())  # one order whatever the tasks, and no order of likeness
-        vectors = unit(_matrix(table["v"]))[order]
-        graph = Graph.build(vectors.astype(np.float32))
+        raw = _matrix(table["v"])[order]
+        graph = Graph.build(unit(raw).astype(np.float32))
         out = io.BytesIO()
-        np.savez(out, vectors=vectors, node=table["node"].to_numpy()[order], copies=table["copies"].to_numpy()[order], **{f"layer{k}": x for k, x in enumerate(graph.layers)})
-        return pa.table({"dim": pa.array([table["dim"][0].as_py()], pa.int32()), "shard": pa.array([table["shard"][0].as_py()], pa.int32()), "graph": pa.array([out.getvalue()], pa.binary())})
-
-    graphs = ws.stage(nodes.withColumn("shard", deal).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "graphs")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        with np.load(io.BytesIO(right["graph"][0].as_py())) as f:
-            vectors, node, copies = f["vectors"], f["node"], f["copies"]
-            graph = Graph(vectors.astype(np.float32), [f[f"layer{k}"] for k in range(sum(x.startswith("layer") for x in f.files))])
-        queries, names = unit(_matrix(left["v"])), left["node"].to_numpy()
-        place = np.minimum(np.searchsorted(node, names), len(node) - 1)
-        own = np.where(node[place] == names, place, -1)
-        found = Links(vectors, copies, queries, own, least)
-        graph.links(queries.astype(np.float32), least - _SLACK, own, found)
-        every = np.concatenate([node, names])
-        u, v = found.forest()
-        some = np.flatnonzero(found.counts)
-        blank = np.zeros(len(some), np.int64)
-        return pa.table({
-            "u": pa.array(np.concatenate([every[u], names[some]])),
-            "v": pa.array(np.concatenate([every[v], blank]), mask=np.r_[np.zeros(len(u), bool), np.ones(len(some), bool)]),
-            "n": pa.array(np.concatenate([np.zeros(len(u), np.int64), found.counts[some]]), mask=np.r_[np.ones(len(u), bool), np.zeros(len(some), bool)]),
-        })
-
-    queries = nodes.select("node", "dim", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("node", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
-    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ("dim", "shard", "block")
-    found = ws.stage(queries.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(search, "u long, v long, n long"), "found")
+        np.savez(out, raw=raw, node=table["node"].to_numpy()[order], copies=table["copies"].to_numpy()[order], **{f"layer{k}": x for k, x in enumerate(graph.layers)})
+        parts = [out.getbuffer()[i : i + _PART] for i in range(0, out.tell(), _PART)]
+        return pa.table({"dim": pa.array([table["dim"][0].as_py()] * len(parts), pa.int32()), "shard": pa.array([table["shard"][0].as_py()] * len(parts), pa.int32()), "part": pa.array(range(len(parts)), pa.int32()), "graph": pa.array(parts, pa.binary())})
+
+    # Small row groups: Spark's reader holds the binaries of a whole one.
+    graphs = ws.stage(nodes.withColumn("shard", deal).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, part int, graph binary"), "graphs", **{"parquet.block.size": 128 * _PART})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, names, weights, raw in _blocks(batches, min(block, most)):
+            if data is not None:
+                with np.load(io.BytesIO(data)) as f:
+                    vectors, node, copies = unit(f["raw"]), f["node"], f["copies"]
+                    graph = Graph(vectors.astype(np.float32), [f[f"layer{k}"] for k in range(sum(x.startswith("layer") for x in f.files))])
+                data = None
+            queries = unit(raw)
+            place = np.minimum(np.searchsorted(node, names), len(node) - 1)
+            own = np.where(node[place] == names, place, -1)
+            found = Links(vectors, copies, queries, own, least, weights)
+            graph.links(queries.astype(np.float32), least - _SLACK, own, found)
+            every = np.concatenate([node, names])
+            a, b = found.forest()
+            n_links = np.concatenate([found.back, found.counts])
+            some = np.flatnonzero(n_links)
+            blank = np.zeros(len(some), np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([every[a], every[some]])),
+                pa.array(np.concatenate([every[b], blank]), mask=np.r_[np.zeros(len(a), bool), np.ones(len(some), bool)]),
+                pa.array(np.concatenate([np.zeros(len(a), np.int64), n_links[some]]), mask=np.r_[np.ones(len(a), bool), np.zeros(len(some), bool)]),
+            ], names=["u", "v", "n"])
+
+    # A node is searched for in its own shard and the next half of them, in a circle; of shards that stand opposite one
+    # another the first half's nodes are searched for in the other's.
+    steps = F.when(deal < shards // 2, shards // 2).otherwise((shards - 1) // 2)
+    to = F.explode(F.transform(F.sequence(F.lit(0), steps), lambda k: F.pmod(deal + k, F.lit(shards))))
+    slot = F.pmod(F.xxhash64("node", F.lit("slot")), F.lit(slots)).cast("int")
+    queries = nodes.select("dim", to.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("graph"), "node", "copies", "v")
+    spread = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "part", "graph", *[F.lit(None).cast(t).alias(c) for c, t in (("node", "long"), ("copies", "long"), ("v", kind))])
+    key = ("dim", "shard", "slot")
+    dealt = spread.union(queries).repartition(3 * shards * slots, *key).sortWithinPartitions(*key, F.col("part").asc_nulls_last(), "node")
+    found = ws.stage(dealt.mapInArrow(lambda batches: lean(search(batches)), "u long, v long, n long"), "found")
     ws.drop(graphs)
     counts = found.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     comps = connected_components(found.where("v IS NOT NULL").select("u", "v"), ws)

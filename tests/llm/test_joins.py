@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from readqc.llm import hnsw, interleave, jaccard_join, language_crf, queries
 from readqc.llm.common import Workspace
@@ -264,6 +265,34 @@ def test_a_dense_group():
     assert same.mean() > 0.99 and same[dense].all()
 
 
+def test_graphs_travel_in_small_rows(spark, monkeypatch):
+    """No row that is shuffled holds a whole graph; counts and components as by brute force."""
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(4000, 32)).astype(np.float32)
+    v[1000:2500] = v[:1500] + rng.normal(size=(1500, 32)).astype(np.float32) * 0.1
+    v[2500:2600] = v[0]
+    seen, stage = [], Workspace.stage
+
+    def watched(self, df, name="t", **options):
+        out = stage(self, df, name, **options)
+        if name == "graphs":
+            seen.append(out.agg(F.max(F.length("graph")), F.sum(F.length("graph")), F.count("*")).first())
+        return out
+
+    monkeypatch.setattr(Workspace, "stage", watched)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    own = np.arange(len(v))
+    counts, pairs = true_links(hnsw.unit(v), hnsw.unit(v), own)
+    comp = components(own.tolist(), pairs.tolist())
+    for sizes in ({"least_shards": 1}, {"least_shards": 2, "least_tasks": 1}, {"least_shards": 3, "slot_size": 700}):
+        got = {r.vec_id: r for r in hnsw.near_duplicates(df, block=300, **sizes).collect()}
+        longest, total, rows = seen.pop()
+        assert longest <= 1 << 16 and total > 8 * longest and rows > 8 and not seen
+        found = np.array([got[i].n_links for i in own.tolist()])
+        assert (found <= counts).all() and (found / np.maximum(counts, 1))[counts > 0].mean() >= 0.98
+        assert np.mean([got[i].component_id == comp[i] for i in own.tolist()]) >= 0.98
+
+
 def test_audit_counts_by_query():
     """Links of small groups that the beams miss aren't made up for by those of a hot group."""
     rng = np.random.default_rng(8)
