@@ -51,6 +51,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Plans run meanwhile hand Python workers batches of about ``most`` bytes, not of 10,000 rows whatever their size: Spark
+    and the worker each hold one or two of them for every task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of a batch with about ``chars`` bytes of text each (a longer text is a slice of its own), and their texts.
     Texts become Python strings slice by slice, which bounds what a kernel holds beside the batch."""

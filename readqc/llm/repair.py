@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readqc.llm.byte_bpe import load
-from readqc.llm.common import Workspace, lean, pieces
+from readqc.llm.common import Workspace, lean, pieces, small_batches
 from readqc.llm.words import Known, mixed, spread
 
 HEAD = struct.Struct("<4sIIIIBB2x")
@@ -73,9 +73,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 2, a_rou
         a, b = sym[places], sym[after[places]]
         look = np.zeros(n + 1, bool)
         width = np.uint64((base + known.n).bit_length())
-        key = a.astype(np.uint64) << width | b
-        some = len(places)
-        if len(twin := np.flatnonzero(a == b)):
+        key = a.astype(np.uint64)
+        key <<= width
+        key |= b
+        some, twin = len(places), np.flatnonzero(a == b)
+        del a, b
+        if len(twin):
             at = places[twin]
             look[at] = True
             fresh = np.r_[True, after[at[:-1]] != at[1:]]
@@ -86,13 +89,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 2, a_rou
         if 2 * width + bits <= 64:
             key <<= bits
             key |= places.view(np.uint64)
+            del places
             key.sort()
             key = key[:some]
-            counted = (key & mask).view(np.int64)
+            counted = (key & mask).astype(np.int32)
             key >>= bits
         else:
             order = np.argsort(key, kind="stable")[:some]
-            key, counted = key[order], places[order]
+            key, counted = key[order], places[order].astype(np.int32)
+            del places, order
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         counts = np.diff(np.r_[start, len(key)])
         often = np.flatnonzero(counts >= least)
@@ -108,7 +113,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 2, a_rou
         which = np.repeat(number, counts)
         look[counted[which >= 0]] = True
         some = np.flatnonzero((which >= 0) & (which < len(chosen)))
-        by_place = np.sort(counted[some] << 32 | which[some])
+        by_place = counted[some].astype(np.int64)
+        by_place <<= 32
+        by_place |= which[some]
+        by_place.sort()
+        del counted, which
         at, which = by_place >> 32, by_place & 0xFFFFFFFF
         beside = after[at[:-1]] == at[1:]
         free = np.ones(len(at), bool)
@@ -282,7 +291,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(lambda batches: lean(encode(batches)), "part long, shard long, n_docs long, n_tokens long, offset long, payload binary").write.parquet(path)
+    with small_batches(docs.sparkSession):
+        rows.mapInArrow(lambda batches: lean(encode(batches)), "part long, shard long, n_docs long, n_tokens long, offset long, payload binary").write.parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -184,3 +185,37 @@ def test_repair_leaves_no_pair():
                 taken[pair] = i
         assert max(left.values(), default=0) < 2
         assert len(rules) == len(set(map(tuple, rules.tolist())))
+
+
+def test_repair_memory(spark, tmp_path, monkeypatch):
+    """Workers get batches of bounded bytes, and compressing a shard takes little beside it."""
+    frame = type(spark.range(1))
+    plain = frame.mapInArrow
+
+    def watched(self, kernel, schema, *rest):
+        def run(batches):
+            def noted():
+                for batch in batches:
+                    (tmp_path / f"{time.time_ns()}-{batch.nbytes}").touch()
+                    yield batch
+
+            return kernel(noted())
+
+        return plain(self, run, schema, *rest)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 400) AS text")
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    repair.write_token_files(docs.coalesce(1), f"file://{tmp_path}/out", BPE)
+    sizes = [int(p.name.split("-")[1]) for p in tmp_path.glob("*-*") if p.is_file()]
+    assert sum(sizes) > 12e6 and max(sizes) < 6e6 and spark.conf.get(setting) == before
+
+    rng = np.random.default_rng(3)
+    ids = (rng.zipf(1.3, 1 << 20) % 50_000).astype(np.uint32)
+    ends = np.arange(512, len(ids) + 1, 512)
+    tracemalloc.start()
+    repair.compress(ids, ends, 50_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80e6
