@@ -55,12 +55,12 @@ def cut(codes: np.ndarray, kinds: np.ndarray, begins: np.ndarray) -> np.ndarray:
     end = np.r_[first[1:], n]
     start = run.copy()
     # Of white space before something, the last character stands alone; a blank goes with what follows.
-    before = (kinds[first] == SPACE) & ~head[end]
-    start[end[before] - 1] = True
-    blank = end[before & (codes[end - 1] == 0x20)]
-    start[blank] = False
+    after = end[np.flatnonzero((kinds[first] == SPACE) & ~head[end])]
+    start[after - 1] = True
+    start[after[np.flatnonzero(codes[after - 1] == 0x20)]] = False
     # An apostrophe by itself, and not after a blank, takes one of the endings with it.
-    lone = first[(codes[first] == 0x27) & (end - first == 1) & start[first] & ~head[end]]
+    lone = np.flatnonzero(codes[first] == 0x27)
+    lone = first[lone[(end[lone] - first[lone] == 1) & start[first[lone]] & ~head[end[lone]]]]
     lone = lone[kinds[lone + 1] == LETTER]
     if len(lone):
         padded = np.r_[codes, np.zeros(2, codes.dtype)]
@@ -121,13 +121,12 @@ class ByteBpe:
             last = np.searchsorted(np.cumsum(self.bytes[ids]), ends)
             self.ids.add(ids, np.diff(last, prepend=-1))
 
-    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, texts: list[str], codes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The known numbers of all pre-tokens of safe, non-empty texts, and each text's end among them."""
         joined = "".join(texts)
-        codes = codes_of(joined)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         begins = np.cumsum(lens) - lens
-        starts = cut(codes, classes()[codes], begins)
+        starts = cut(codes, kinds, begins)
         sizes = np.diff(np.r_[starts, len(codes)])
         h = hashes(codes, starts, sizes)
         if self.known.n > self.keep:
@@ -142,29 +141,32 @@ class ByteBpe:
             found[new] = self.known.find(h[new])
         return found, np.searchsorted(starts, begins + lens)
 
-    def _sorted_out(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
-        """Places of the texts to cut here, and of those for the library."""
+    def _sorted_out(self, texts: list[str | None]) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+        """Places of the texts to cut here, and of those for the library; code points of the former, and their classes."""
         own, other = [], []
         for i, t in enumerate(texts):
             if t:
                 safe = self.cuts and (t.isascii() or int(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).max()) < 0x250) and not (self.special and self.special.search(t))
                 (own if safe else other).append(i)
-        if own:
-            # Control characters and the like are few; one pass over all tells whether there are any.
-            joined = codes_of("".join([texts[i] for i in own]))
-            if (classes()[joined] == UNSAFE).any():
-                safe = [not (classes()[codes_of(texts[i])] == UNSAFE).any() for i in own]
-                other += [i for i, ok in zip(own, safe, strict=True) if not ok]
-                own = [i for i, ok in zip(own, safe, strict=True) if ok]
-        return own, other
+        codes = codes_of("".join([texts[i] for i in own]))
+        kinds = classes()[codes]
+        # Control characters and the like are few; one pass over all tells whether there are any.
+        if len(codes) and kinds.max() == UNSAFE:
+            ends = np.cumsum([len(texts[i]) for i in own])
+            safe = [k.max() < UNSAFE for k in np.split(kinds, ends[:-1])]
+            other += [i for i, ok in zip(own, safe, strict=True) if not ok]
+            own = [i for i, ok in zip(own, safe, strict=True) if ok]
+            codes = codes_of("".join([texts[i] for i in own]))
+            kinds = classes()[codes]
+        return own, other, codes, kinds
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all whole texts, one text after another, and the count of each; a null counts as empty."""
-        own, other = self._sorted_out(texts)
+        own, other, *cut_by = self._sorted_out(texts)
         counts = np.zeros(len(texts), np.int64)
         flat = np.zeros(0, np.uint32)
         if own:
-            found, ends = self._numbers([texts[i] for i in own])
+            found, ends = self._numbers([texts[i] for i in own], *cut_by)
             flat, lens = self.ids.take(found)
             counts[own] = sums(lens, ends)
         if not other:
@@ -178,10 +180,10 @@ class ByteBpe:
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         """The number of ids of each whole text."""
-        own, other = self._sorted_out(texts)
+        own, other, *cut_by = self._sorted_out(texts)
         counts = np.zeros(len(texts), np.int64)
         if own:
-            found, ends = self._numbers([texts[i] for i in own])
+            found, ends = self._numbers([texts[i] for i in own], *cut_by)
             counts[own] = sums(self.ids.lens[found], ends)
         for i in other:
             counts[i] = len(self._whole(texts[i]))

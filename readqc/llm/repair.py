@@ -56,77 +56,80 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 2, a_rou
     pair occurs ``least`` times without overlap (of a run of one symbol every other pair counts). Where two of a round's
     pairs overlap, the more frequent one is replaced; a pair of which some are left keeps its symbol.
 
-    Symbols are linked, so that a round costs what it looks at: places whose pair was frequent, is of equal symbols, or has
-    changed. A pair that occurs too seldom gets no new place unless one of its symbols is put anew, and then all places of
-    such a symbol are looked at."""
-    n = len(ids)
-    if not n:
+    A round closes the gaps that it leaves, and costs what it looks at: places whose pair was frequent, is of equal symbols,
+    or has changed. A pair that occurs too seldom gets no new place unless one of its symbols is put anew, and then all
+    places of such a symbol are looked at."""
+    if not len(ids):
         return np.zeros((0, 2), np.uint32), ids.astype(np.uint32), np.zeros(0, np.int64)
-    sym, last, gone = ids.astype(np.uint32), np.zeros(n, bool), np.zeros(n + 1, bool)
-    last[ends - 1] = True
-    after, ahead = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
-    rules, known = [np.zeros((0, 2), np.uint32)], Known()
-    bits = np.uint64(n.bit_length())
-    mask = (np.uint64(1) << bits) - np.uint64(1)
-    places = np.flatnonzero(~last)
-    while len(places):
-        a, b = sym[places], sym[after[places]]
-        look = np.zeros(n + 1, bool)
-        width = np.uint64((base + known.n).bit_length())
+    # Where masks are mixed, places (flatnonzero) are several times faster than the masks themselves.
+    seq, look, rules, known = ids.astype(np.uint32), np.ones(len(ids), bool), [np.zeros((0, 2), np.uint32)], Known()
+    look[ends - 1] = False
+    while len(places := np.flatnonzero(look)):
+        width, bits = np.uint64((base + known.n).bit_length()), np.uint64(len(seq).bit_length())
+        mask = (np.uint64(1) << bits) - np.uint64(1)
+        packed = 2 * width + bits <= 64
+        a, b = seq[places], seq[places + 1]
         key = a.astype(np.uint64)
         key <<= width
         key |= b
-        some, twin = len(places), np.flatnonzero(a == b)
+        some, twin = len(places), places[np.flatnonzero(a == b)]
         del a, b
         if len(twin):
-            at = places[twin]
-            look[at] = True
-            fresh = np.r_[True, after[at[:-1]] != at[1:]]
+            fresh = np.r_[True, twin[:-1] + 1 != twin[1:]]
             begin = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            skip = twin[(np.arange(len(twin)) - begin) % 2 == 1]
+            skip = np.searchsorted(places, twin[(np.arange(len(twin)) - begin) % 2 == 1])
             key[skip] = (np.uint64(1) << 2 * width) - np.uint64(1)  # no pair; sorts last
             some -= len(skip)
-        if 2 * width + bits <= 64:
+        if packed:
             key <<= bits
             key |= places.view(np.uint64)
             del places
             key.sort()
             key = key[:some]
-            counted = (key & mask).astype(np.int32)
-            key >>= bits
+            fresh = (key[1:] ^ key[:-1]) > mask
         else:
             order = np.argsort(key, kind="stable")[:some]
-            key, counted = key[order], places[order].astype(np.int32)
-            del places, order
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        counts = np.diff(np.r_[start, len(key)])
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+            key, places = key[order], places[order]
+            fresh = key[1:] != key[:-1]
+            del order
+
+        def counted(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+            """The places of pairs, one pair after another."""
+            at = spread(first, n)
+            return (key[at] & mask).view(np.int64) if packed else places[at]
+
+        start = np.flatnonzero(np.r_[True, fresh])
+        counts = np.diff(start, append=some)
+        often = counts >= least
+        chosen, seldom = np.flatnonzero(often), np.flatnonzero(~often)
+        if not len(chosen):
             break
-        chosen, n_of = often, counts[often]
-        if len(often) > a_round:
-            chosen = often[n_of >= np.partition(n_of, len(often) - a_round)[len(often) - a_round]]
-        chosen = chosen[np.argsort(-counts[chosen], kind="stable")]
-        number = np.full(len(start), -1, np.int32)
-        number[often] = len(often)
-        number[chosen] = np.arange(len(chosen))
-        which = np.repeat(number, counts)
-        look[counted[which >= 0]] = True
-        some = np.flatnonzero((which >= 0) & (which < len(chosen)))
-        by_place = counted[some].astype(np.int64)
+        look[counted(start[seldom], counts[seldom])] = False
+        look[twin] = True
+        n_of = counts[chosen]
+        if len(chosen) > a_round:
+            top = n_of >= np.partition(n_of, len(chosen) - a_round)[len(chosen) - a_round]
+            chosen, n_of = chosen[top], n_of[top]
+        order = np.argsort(-n_of, kind="stable")
+        chosen, n_of = chosen[order], n_of[order]
+        by_place = counted(start[chosen], n_of)
         by_place <<= 32
-        by_place |= which[some]
+        by_place |= np.repeat(np.arange(len(chosen)), n_of)
         by_place.sort()
-        del counted, which
         at, which = by_place >> 32, by_place & 0xFFFFFFFF
-        beside = after[at[:-1]] == at[1:]
+        beside = at[:-1] + 1 == at[1:]
         free = np.ones(len(at), bool)
         free[1:] &= ~beside | (which[1:] < which[:-1])
         free[:-1] &= ~beside | (which[:-1] < which[1:])
-        at, which = at[free], which[free]
+        by_place = by_place[np.flatnonzero(free)]
+        which = by_place & 0xFFFFFFFF
         good = np.bincount(which, minlength=len(chosen)) >= least  # the first one always is
-        at, which = at[good[which]], which[good[which]]
+        by_place = by_place[np.flatnonzero(good[which])]
+        at, which = by_place >> 32, by_place & 0xFFFFFFFF
         pair = key[start[chosen[good]]]
+        if packed:
+            pair >>= bits
+        del key, start, counts, often, seldom, by_place
         # Rules by their pair; those of earlier rounds keep their number.
         left, right = pair >> width, pair & ((np.uint64(1) << width) - np.uint64(1))
         name = mixed((left << np.uint64(32) | right) + np.uint64(1))
@@ -138,21 +141,21 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 2, a_rou
         if len(old):
             again = np.zeros(base + known.n, bool)
             again[base + old] = True
-            here = np.flatnonzero(again[sym] & ~gone[:n])
-            look[here] = look[ahead[here]] = True
-        second = after[at]
-        third = after[second]
-        sym[at] = (base + rule)[(np.cumsum(good) - 1)[which]]
-        last[at] = last[second]
-        after[at] = third
-        ahead[third] = at
-        gone[second] = True
-        look[at] = look[ahead[at]] = True
-        look[second] = look[n] = look[-1] = False
-        look[:n] &= ~last
-        places = np.flatnonzero(look[:n])
-    there = ~gone[:n]
-    return np.concatenate(rules), sym[there], np.flatnonzero(last[there]) + 1
+            here = np.flatnonzero(again[seq])
+            look[here] = look[here - 1] = True
+        symbol = np.zeros(len(chosen), np.uint32)
+        symbol[good] = base + rule
+        seq[at] = symbol[which]
+        kept = np.ones(len(seq), bool)
+        kept[at + 1] = False
+        if 50 * len(at) > len(seq):
+            kept = np.flatnonzero(kept)
+        seq, look = seq[kept], look[kept]
+        ends = ends - np.searchsorted(at, ends - 1)
+        at -= np.arange(len(at))
+        look[at] = look[at - 1] = True
+        look[ends - 1] = False
+    return np.concatenate(rules), seq, ends
 
 
 def _generations(rules: np.ndarray, base: int) -> list[tuple[int, int]]:
@@ -232,14 +235,18 @@ class Shard:
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
         """The ids of a part of the sequence."""
-        at = np.flatnonzero(seq >= self.base)
-        rule = seq[at].astype(np.int64) - self.base
-        size = np.ones(len(seq), np.int32)
-        size[at] = self.sizes[rule]
-        out = np.repeat(seq.astype("<u4"), size)
-        place = (np.cumsum(size, dtype=np.int64) - size)[at]
-        out[spread(place, self.sizes[rule])] = self.flat[spread(self.offset[rule], self.sizes[rule])]
-        return out
+        out = [np.zeros(0, "<u4")]
+        for i in range(0, len(seq), 1 << 14):
+            part = seq[i : i + (1 << 14)].astype("<u4")
+            at = np.flatnonzero(part >= self.base)
+            rule = part[at].astype(np.int64) - self.base
+            size = np.ones(len(part), np.int64)
+            size[at] = sizes = self.sizes[rule]
+            place = (np.cumsum(size) - size)[at]
+            part = np.repeat(part, size)
+            part[spread(place, sizes)] = self.flat[spread(self.offset[rule], sizes)]
+            out.append(part)
+        return np.concatenate(out)
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the shard's i-th document."""
@@ -275,12 +282,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         for batch in batches:
             for piece, texts in pieces(batch):
                 flat, counts = bpe.encode(texts)
-                ends = np.cumsum(counts + 1)
-                closed = np.full(int(ends[-1]), end_id, np.uint32)
-                inner = np.ones(len(closed), bool)
-                inner[ends - 1] = False
-                closed[inner] = flat
-                for doc_id, own in zip(piece.column(0).to_pylist(), np.split(closed, ends[:-1]), strict=True):
+                for doc_id, own in zip(piece.column(0).to_pylist(), np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+                    own = np.append(own, np.uint32(end_id))
                     names.append(doc_id)
                     ids.append(own)
                     held += len(own)

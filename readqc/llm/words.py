@@ -25,14 +25,18 @@ def _mixed_codes() -> np.ndarray:
     return mixed(np.arange(1, 0x110001, dtype=np.uint64))
 
 
-_powers = [np.ones(1, np.uint64)]
+#: Powers of an odd number and of its inverse.
+_powers = [np.ones((2, 1), np.uint64)]
 
 
 def _power(n: int) -> np.ndarray:
-    """At least ``n`` powers of an odd number."""
-    if len(_powers[0]) < n:
+    """At least ``n`` powers of an odd number, and of its inverse."""
+    if _powers[0].shape[1] < n:
         size = 1 << max(6, (n - 1).bit_length())
-        powers = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _M2)], dtype=np.uint64)
+        powers = np.ones((2, size), np.uint64)
+        for row, factor in zip(powers, (_M2, np.uint64(pow(int(_M2), -1, 1 << 64))), strict=True):
+            row[1:] = factor
+            np.cumprod(row, out=row)
         if n > 1 << 16:  # of a very long run; not kept
             return powers
         _powers[0] = powers
@@ -44,14 +48,24 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def hashes(codes: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """A 64-bit hash (never 0) of each run of ``codes``; the runs tile it."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    place = np.arange(len(codes), dtype=np.int32) - np.repeat(starts.astype(np.int32), lens)
-    x = _mixed_codes()[codes]
-    x *= _power(int(lens.max()))[place]
-    out = mixed(np.add.reduceat(x, starts))
+def hashes(codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """A 64-bit hash (never 0) of each run of ``codes``; the runs tile it.
+
+    Runs that begin within ``block`` codes are summed at once, with powers by the place in the block; a run's sum is
+    then brought back to powers from its start."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = int(np.searchsorted(starts, a + block))
+        b = int(starts[j - 1] + lens[j - 1])
+        up, down = _power(b - a)
+        x = _mixed_codes()[codes[a:b]]
+        x *= up[: b - a]
+        first = starts[i:j] - a
+        out[i:j] = np.add.reduceat(x, first)
+        out[i:j] *= down[first]
+        i = j
+    out = mixed(out)
     out[out == 0] = 1
     return out
 

@@ -219,3 +219,58 @@ def test_repair_memory(spark, tmp_path, monkeypatch):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 80e6
+
+
+def test_repair_effort():
+    """Compressing a shard takes little CPU time, told by sorts and gathers of as many numbers, and little memory."""
+    rng = np.random.default_rng(3)
+    ids, ends = (rng.zipf(1.3, 1 << 20) % 50_000).astype(np.uint32), np.arange(512, (1 << 20) + 1, 512)
+    x, at = rng.integers(0, 1 << 60, 1 << 20), rng.integers(0, 1 << 20, 1 << 20)
+
+    def plain():
+        for _ in range(4):
+            y = np.sort(x)
+            y[at], np.cumsum(y), np.flatnonzero(y > 5)
+
+    def least_time(work):
+        took = []
+        for _ in range(7):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least_time(lambda: repair.compress(ids, ends, 50_000)) < 2.5 * least_time(plain)
+    tracemalloc.start()
+    repair.compress(ids, ends, 50_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 55e6
+
+
+def test_hashes_of_runs():
+    """Runs within, across and longer than a block; the hash of a run doesn't depend on where it stands."""
+    rng = np.random.default_rng(2)
+    lens = np.r_[rng.integers(1, 9, 9000), 16_384, 1, 16_383, 2, 50_000, 1, 1, 80_000, rng.integers(1, 9, 9000)]
+    starts, codes = np.cumsum(lens) - lens, rng.integers(0, 0x110000, lens.sum()).astype(np.uint32)
+    odd, number, every = int(words._M2), words.mixed(codes.astype(np.uint64) + np.uint64(1)).tolist(), []
+    for a, n in zip(starts.tolist(), lens.tolist(), strict=True):
+        total, power = 0, 1
+        for x in number[a : a + n]:
+            total, power = (total + x * power) % 2**64, power * odd % 2**64
+        every.append(total)
+    want = words.mixed(np.array(every, np.uint64))
+    assert np.array_equal(words.hashes(codes, starts, lens), want)
+    some = np.flatnonzero(lens < 9)[::-1]
+    again = np.concatenate([codes[a : a + n] for a, n in zip(starts[some].tolist(), lens[some].tolist(), strict=True)])
+    assert np.array_equal(words.hashes(again, np.cumsum(lens[some]) - lens[some], lens[some]), want[some])
+
+
+def test_cut_texts_among_others():
+    """Texts with control characters, special strings and other letters between those that are cut here."""
+    library, bpe = Tokenizer.from_file(BPE), byte_bpe.ByteBpe(BPE)
+    texts = ["plain it's", "a\x00b", None, " \n x  y\n", "<|endoftext|>", "日本", "", "é ' s't 'll", "\x85", "end "]
+    for some in (texts, texts[1:2], texts[::-1], texts * 3):
+        flat, counts = bpe.encode(some)
+        assert split(flat, counts) == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert np.array_equal(bpe.count(some), counts)
