@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readqc.session import shared_root
 
+FILE_ROWS = 10_000  # of a staged table that is known to be small
+
+
 class Workspace:
     """Intermediate tables of one operator run, written to the shared folder, so that a lost executor loses none of
     them and long lineages end there."""
@@ -25,9 +28,13 @@ class Workspace:
         self._n = itertools.count()
         self._held: list[DataFrame] = []
 
-    def stage(self, df: DataFrame, name: str = "t", **options) -> DataFrame:
-        """Write ``df`` (with the writer's ``options``) and read it back."""
+    def stage(self, df: DataFrame, name: str = "t", rows: int | None = None, **options) -> DataFrame:
+        """Write ``df`` (with the writer's ``options``) and read it back. ``rows``: a bound on its rows, if one is known; few
+        rows of many partitions go through one more small shuffle to a file for ``FILE_ROWS``, as each file that a task
+        opens costs calls to the store (on a local disk without Hadoop's native library, child processes of the executor)."""
         path = f"{self.path}/{name}-{next(self._n)}"
+        if rows is not None and (files := max(1, -(-int(rows) // FILE_ROWS))) < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.repartition(files)
         df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_at = path

@@ -43,19 +43,19 @@ def connected_components(links: DataFrame, ws: Workspace) -> DataFrame:
     """``links``: columns u, v (long, no nulls). Returns node, component (the smallest node reachable) for each node
     that has a link to another. Repeated links, links both ways and self links change nothing; no links give no rows."""
     edges = ws.stage(links.select("u", "v").mapInArrow(_forest, "u long, v long"), "forest")
-    state = None
+    state, n = None, edges.count()
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        found = ws.stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        found = ws.stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars", rows=2 * n)
         ws.drop(edges)
         edges = found
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, n = now, now[0]
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

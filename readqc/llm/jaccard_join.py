@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from readqc.llm.common import Workspace, lean, pieces
+from readqc.llm.common import Workspace, lean, pieces, small_batches
 from readqc.llm.components import connected_components
 from readqc.llm.words import hashes
 
@@ -41,6 +41,7 @@ TOKEN_BITS = 48  # of a shingle's hash, by which it is known to the filters
 RANGE_TOKENS = 2 << 20
 BATCH_TOKENS = 1 << 20
 HOT = 64  # nodes of a batch that share a token; from there on it goes out once
+TEXT_ROWS = 20  # rows of a few numbers that one with a text counts for in files
 _HOT_LEVEL = np.uint64(255)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -308,8 +309,10 @@ def _texts_of(docs: DataFrame, ids: DataFrame, bound: int = 2_000_000) -> DataFr
 
 def _verify_pairs(pairs: DataFrame, docs: DataFrame, homes: DataFrame, filters: DataFrame, ws: Workspace) -> DataFrame:
     """Links among ``pairs`` (u, v), as (u, v). Pairs whose prefixes don't meet under B and C go before texts are read."""
+    bound = pairs.count()
     pairs = pairs.join(filters.selectExpr("node AS u", "b AS ub", "c AS uc"), "u").join(filters.selectExpr("node AS v", "b AS vb", "c AS vc"), "v")
-    pairs = ws.stage(pairs.where("arrays_overlap(ub, vb) AND arrays_overlap(uc, vc)").select("u", "v"), "candidates")
+    pairs = ws.stage(pairs.where("arrays_overlap(ub, vb) AND arrays_overlap(uc, vc)").select("u", "v"), "candidates", rows=bound)
+    bound = pairs.count()
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     ids = homes.join(nodes, "node", "left_semi").select(F.col("home").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     nameless = docs.select("doc_id", "text").where("doc_id IS NULL AND text IS NOT NULL")
@@ -320,7 +323,7 @@ def _verify_pairs(pairs: DataFrame, docs: DataFrame, homes: DataFrame, filters:
                 found = shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in found], pa.int64()), part.column(1)], names=["node", "text"])
 
-    texts = ws.stage(_texts_of(docs, ids).union(nameless).mapInArrow(lambda batches: lean(sets(batches)), "node long, text string").dropDuplicates(["node"]), "texts")
+    texts = ws.stage(_texts_of(docs, ids).union(nameless).mapInArrow(lambda batches: lean(sets(batches)), "node long, text string").dropDuplicates(["node"]), "texts", rows=2 * bound * TEXT_ROWS)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +343,7 @@ def _verify_pairs(pairs: DataFrame, docs: DataFrame, homes: DataFrame, filters:
 
     members = pairs.join(texts.selectExpr("node AS v", "text AS tv"), "v")
     both = members.join(texts.selectExpr("node AS u", "text AS tu"), "u").select("u", "v", "tu", "tv")
-    links = ws.stage(both.mapInArrow(lambda batches: lean(check(batches)), "u long, v long"), "links")
+    links = ws.stage(both.mapInArrow(lambda batches: lean(check(batches)), "u long, v long"), "links", rows=bound)
     ws.drop(texts, pairs)
     return links
 
@@ -368,16 +371,22 @@ def similar(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64) ->
     reachable by links, itself included; a null id never is the smallest beside another). Repeated rows are copies. Only
     doc_id and text are read. Shingles and sets are told apart by 64-bit hashes.
     """
-    return _groups(docs, max_rounds, pairs_per_entry).drop("node")
+    return _groups(docs, Workspace(docs.sparkSession, "jaccard"), max_rounds, pairs_per_entry)[0].drop("node")
 
 
-def _groups(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64, ws: Workspace | None = None) -> DataFrame:
-    """As ``similar``, with each row's set digest (node). What the result reads stays in the workspace."""
-    ws = ws or Workspace(docs.sparkSession, "jaccard")
+def _groups(docs: DataFrame, ws: Workspace, max_rounds: int = 2, pairs_per_entry: int = 64) -> tuple[DataFrame, int]:
+    """As ``similar``, with each row's set digest (node), and the number of rows. What the result reads stays in the
+    workspace."""
+    with small_batches(docs.sparkSession):
+        return _grouped(docs, ws, max_rounds, pairs_per_entry)
+
+
+def _grouped(docs: DataFrame, ws: Workspace, max_rounds: int, pairs_per_entry: int) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     meta = ws.stage(docs.mapInArrow(lambda batches: lean(_describe(batches)), "doc_id long, node long, n long"), "nodes")
-    homes = ws.stage(meta.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("home"), F.count("*").alias("copies"), F.max("n").alias("n")), "homes")
+    rows = meta.count()
+    homes = ws.stage(meta.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("home"), F.count("*").alias("copies"), F.max("n").alias("n")), "homes", rows=rows)
     tokens = homes.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-tokens // RANGE_TOKENS))
 
@@ -391,11 +400,12 @@ def _groups(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64, ws:
     # with another from there on.
     entries = filters.select(F.posexplode("a").alias("at", "token"), "node", "n", "shared").select("token", "node", "n", (F.col("shared") - F.col("at")).alias("rest"), (F.col("n") - F.col("shared")).alias("own"))
     common = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    lists = ws.stage(entries.join(common, "token", "left_semi").withColumn("comp", F.col("node")), "lists")
+    bound = filters.agg(F.sum(F.size("a"))).first()[0] or 0
+    lists = ws.stage(entries.join(common, "token", "left_semi").withColumn("comp", F.col("node")), "lists", rows=bound)
     links = None
     for k in range(max_rounds + 1):
         per = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left, pairs = per.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
+        left, pairs, tokens = per.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.count("*")).first()
         if not pairs:
             break
         last = k == max_rounds or k and pairs <= pairs_per_entry * left
@@ -404,9 +414,9 @@ def _groups(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64, ws:
         if last:
             found = _all_pairs(lists, close)
         else:
-            hubs = ws.stage(lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "rest", "comp"), F.struct(F.col("own") / F.col("n"), F.xxhash64("node"))).alias("h")).select("token", "h.*"), "hubs")
+            hubs = ws.stage(lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "rest", "comp"), F.struct(F.col("own") / F.col("n"), F.xxhash64("node"))).alias("h")).select("token", "h.*"), "hubs", rows=tokens)
             found = lists.alias("a").join(hubs.alias("b"), F.expr(f"a.token = b.token AND a.comp <> b.comp AND {close}")).selectExpr("b.node AS u", "a.node AS v")
-        found = ws.stage(found.selectExpr("least(u, v) AS u", "greatest(u, v) AS v").distinct(), "pairs")
+        found = ws.stage(found.selectExpr("least(u, v) AS u", "greatest(u, v) AS v").distinct(), "pairs", rows=pairs if last else min(left, pairs))
         more = _verify_pairs(found, docs, homes, filters, ws)
         ws.drop(found)
         links = more if links is None else links.union(more)
@@ -414,20 +424,20 @@ def _groups(docs: DataFrame, max_rounds: int = 2, pairs_per_entry: int = 64, ws:
             break
         comps = connected_components(links, ws)
         moved = lists.join(hubs.selectExpr("token", "node AS hub"), "token").where("node <> hub").drop("hub", "comp").join(comps.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        moved = ws.stage(moved.select("token", "node", "n", "rest", "own", "comp"), "moved")
+        moved = ws.stage(moved.select("token", "node", "n", "rest", "own", "comp"), "moved", rows=left)
         mixed = moved.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        found = ws.stage(moved.join(mixed, "token", "left_semi"), "lists")
+        found = ws.stage(moved.join(mixed, "token", "left_semi"), "lists", rows=left)
         ws.drop(lists, moved, hubs)
         lists = found
     ws.drop(lists, filters)
     if links is None:
         links = spark.createDataFrame([], "u long, v long")
-    comps = ws.stage(connected_components(links, ws), "components")
+    comps = ws.stage(connected_components(links, ws), "components", rows=rows)
     ws.keep_only(meta, homes, comps)
     grouped = homes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("home").alias("component_id"))
     ids = grouped.join(least, "component").select("node", "component_id")
-    return meta.join(ids, "node", "left").select("doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return meta.join(ids, "node", "left").select("doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), rows
 
 
 _NODE = "_set_digest"
@@ -438,7 +448,8 @@ def keep_one(docs: DataFrame, bound: int = 2_000_000) -> DataFrame:
     not others with their ids. Of rows left that repeat an id one stays, the one whose text is smallest; a row with a null
     id stays, as does one with a null text or without words unless its id repeats. The ids to remove are broadcast only if they are ``bound`` at most."""
     ws = Workspace(docs.sparkSession, "jaccard")
-    groups = ws.stage(_groups(docs, ws=ws), "groups")
+    groups, rows = _groups(docs, ws)
+    groups = ws.stage(groups, "groups", rows=rows)
     ws.keep_only(groups)
     copies, others = groups.where("doc_id <> component_id"), groups.where("doc_id = component_id")
     gone = copies.select("doc_id").distinct()

@@ -158,6 +158,35 @@ def test_one_of_each_group_stays(spark, odd, none, copies):
     assert jaccard_join.keep_one(none).count() == 0
 
 
+def test_small_tables_take_few_files(spark, copies, tmp_path, monkeypatch):
+    """Of as many shuffle partitions as on a cluster, small staged tables don't get a file each; the groups are the same."""
+    monkeypatch.setattr("readqc.llm.common.shared_root", lambda spark: f"file://{tmp_path}")
+    files, stage = [], Workspace.stage
+
+    def watched(self, df, name="t", **options):
+        out = stage(self, df, name, **options)
+        files.append((name, len(list(tmp_path.glob(f"*/{out._staged_at.rsplit('/', 1)[1]}/part-*")))))
+        return out
+
+    monkeypatch.setattr(Workspace, "stage", watched)
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxBytesPerBatch": "50000000"}
+    before = {k: spark.conf.get(k) for k in many}
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.createDataFrame(copies, SCHEMA).repartition(4)
+        got = Counter(map(tuple, jaccard_join.similar(docs).collect()))
+        kept = sorted(r.doc_id for r in jaccard_join.keep_one(docs).collect())
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "50000000"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = groups_by_hand(copies)[0]
+    assert got == want and kept == sorted({c for _, _, c in want})
+    assert {"homes", "lists", "hubs", "pairs", "links", "stars", "moved", "components", "groups"} <= {name for name, _ in files}
+    assert max(n for _, n in files) <= 10, files
+
+
 def test_only_copies_go(spark):
     """Of an id on two rows the copy goes and the other text stays; of two that are no copies the smaller text stays."""
     a, b, c, d = ("one two three four five six", "a lone text that has no copy", "zzz is the larger text of the two", "aaa is the smaller text of the two")
